@@ -86,8 +86,9 @@ def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_binary())
+        column = column.fill_null(b"" if pa.types.is_large_binary(column.type) else "")
+    if not pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary())
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
