@@ -23,6 +23,9 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BYTE[_SPACE] = 0
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
+#: As above, but every ASCII byte that is no letter or digit parts words.
+_PARTS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+_BYTE_PLAIN = np.where(_PARTS, np.uint64(0), _BYTE_LOWER)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, dtype=np.uint64)
@@ -51,9 +54,9 @@ class Words:
 
     __slots__ = ("data", "end", "first", "hash", "offsets", "start")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, plain: bool = False) -> None:
         self.data, self.offsets = data, offsets
-        word = ~_SPACE[data]
+        word = ~(_PARTS if plain else _SPACE)[data]
         edge = np.empty(len(data) + 1, dtype=bool)
         edge[0] = edge[-1] = True
         edge[1:-1] = ~word[:-1]
@@ -72,7 +75,7 @@ class Words:
             lead = self.start[0]
             relative = np.arange(lead, len(data)) - np.repeat(self.start, gaps)
             with np.errstate(over="ignore"):
-                values = (_BYTE_LOWER if lower else _BYTE)[data[lead:]] * _power_table(int(gaps.max()))[relative]
+                values = (_BYTE_PLAIN if plain else _BYTE_LOWER if lower else _BYTE)[data[lead:]] * _power_table(int(gaps.max()))[relative]
                 self.hash = mix(np.add.reduceat(values, self.start - lead))
         else:
             self.hash = np.empty(0, np.uint64)
@@ -81,8 +84,11 @@ class Words:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
-    """(first row, end row, Words) over a column of strings; null counts as empty."""
+def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False, plain: bool = False) -> Iterator[tuple[int, int, Words]]:
+    """(first row, end row, Words) over a column of strings; null counts as empty.
+
+    ``lower`` takes A-Z as a-z; ``plain`` does too, and lets every ASCII byte but letters and digits part words.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if column.null_count:
@@ -96,7 +102,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1)
         end = min(end, len(column))
-        yield row, end, Words(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], lower)
+        yield row, end, Words(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], lower, plain)
         row = end
 
 
