@@ -47,10 +47,11 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST) -> None:
         F.lit(END),
     )
     named.select("digest", header.alias("header")).write.parquet(f"{path}/headers")
-    # the join on both columns has no hot key: a digest's copies differ in page_id
-    kept = pages.select("page_id", F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
-    mine = (kept["digest"] == owners["digest"]) & kept["page_id"].eqNullSafe(owners["owner"])
-    kept.join(owners, mine, "left_semi").select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    # the join on both columns has no hot key (a digest's copies differ in page_id), and dropping repeats needs no other shuffle
+    key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63))).alias("key")
+    kept = pages.select(key("page_id"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+    mine = kept.join(owners.select("digest", key("owner")), ["digest", "key"], "left_semi")
+    mine.dropDuplicates(["digest", "key"]).select("digest", "payload").write.parquet(f"{path}/payloads")
 
 
 def _of(header, name: str):
