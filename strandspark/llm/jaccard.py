@@ -4,9 +4,13 @@ A document's set is its distinct ``words``-word shingles (64-bit hashes).  Equal
 doc_id stands for all.  With sizes n and m, similarity ``percent`` needs an overlap of c(n + m) shingles.
 
 Light: a set of at most ``boundary`` shingles, and those it can be similar to, enumerate all their subsets of size c(n + m)
-for each possible sum; a shared subset is a link, so a group needs no pairs.  Heavy: larger sets post their rarest shingles
-to inverted lists, as many as a similar set can't miss all of.  The boundary is where the two costs, counted from the
-histogram of sizes, have the smallest sum.
+for each possible sum; a shared subset is a link, so a group needs no pairs.  Heavy: larger sets post shingles to inverted
+lists, as many as a similar set can't miss all of.  The boundary is where the two costs, counted from the histogram of
+sizes, have the smallest sum.
+
+A heavy set that has as many shingles of its own (in no other document) as it would post has no similar set: its lists
+could hold those alone.  One grouping finds these, over all shingles of sets up to ``FULL`` and a fixed fraction of the hash
+range for larger ones; most documents need no lists then, and passages or lines that many documents share cost nothing.
 
 Lists are scanned without pairs first: every member meets its list's first one of like size.  Groups are formed, and only
 members of different groups in a list make pairs then; those not met before are tested, so no link between groups is lost.
@@ -23,14 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .ship import remote, stash
 from .text import chunks, grams, mix
 
 _HERE = "strandspark.llm.jaccard"
-#: Shingles taken as frequent, which come last in every prefix, at most (what is broadcast: 16 bytes each); copies in a map
-#: task's buffer that make one a candidate; shingles of that buffer.  They order the lists and change no result.
-FREQUENT, LOCAL, BUFFER = 1 << 17, 6, 1 << 21
+#: Sets up to this size are looked at whole for shingles of their own; of larger ones, the part of the hash range that holds
+#: this many times the shingles they would post.
+FULL, WIDER = 256, 1.65
 #: Sizes up to which the boundary is looked for, and cost of a posting (it is scanned and tested) in subset keys.
 SMALL, POSTING = 32, 3
 
@@ -99,34 +104,36 @@ def _sets(column, words: int):
                 yield a + i, np.empty(0, np.uint64)
 
 
-_CLASSES = "doc_id long, n long, digest binary, shingle long, copies long"
-
-
 def _classes(batches, words: int):
-    """Size and digest of each text's set, and shingles that are frequent in a stretch of the task's texts."""
+    """Size and digest of each text's set."""
     import xxhash
 
-    held, size = [], 0
+    for batch in batches:
+        sets = [(len(s), xxhash.xxh3_128_digest(s.tobytes())) for _, s in _sets(batch.column(1), words)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.binary())], names=["doc_id", "n", "digest"])
+
 
-    def frequent():
-        keys, copies = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-        keep = copies >= LOCAL
-        k = int(keep.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(keys[keep].view(np.int64)), pa.array(copies[keep])], names=["doc_id", "n", "digest", "shingle", "copies"])
+def _own(batches, words: int, percent: int, boundary: int):
+    """(doc_id, shingle) of heavy sets; the lowest bit tells the whole sets of small ones from the parts of large ones.
 
+    Similar sets are both whole or both in part: sizes a little above FULL are in both.
+    """
+    top = np.uint64(min(1.0, WIDER * (100 - percent) / 100) * ((1 << 64) - 1))
     for batch in batches:
-        n, digest = [], []
-        for _, s in _sets(batch.column(1), words):
-            n.append(len(s))
-            digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-            held.append(s)
-            size += len(s)
-            if size > BUFFER:
-                yield frequent()
-                held, size = [], 0
-        k = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["doc_id", "n", "digest", "shingle", "copies"])
-    yield frequent()
+        rows, shingles = [], []
+        for row, s in _sets(batch.column(1), words):
+            if len(s) <= boundary:
+                continue
+            parts = []
+            if len(s) <= 100 * FULL // percent:
+                parts.append(s & ~np.uint64(1))
+            if len(s) > FULL:
+                parts.append(s[: np.searchsorted(s, top)] | np.uint64(1))
+            for x in parts:
+                rows.append(np.full(len(x), row))
+                shingles.append(x)
+        at = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array((np.concatenate(shingles) if shingles else np.empty(0, np.uint64)).view(np.int64))], names=["doc_id", "shingle"])
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -140,38 +147,32 @@ def _signature_counts(x: bytes) -> np.ndarray:
     return np.frombuffer(x[1:], "<u4").astype(np.int64) if len(x) % 2 else np.frombuffer(x, np.uint8).astype(np.int64)
 
 
-_POSTS = "doc_id long, n long, signature binary, rare array<long>, sums array<int>, keys array<long>"
-
-
-def _posts(batches, words: int, percent: int, boundary: int, frequent):
-    names, rank = frequent.value if hasattr(frequent, "value") else frequent
+def _light(batches, words: int, percent: int, boundary: int):
+    """(doc_id, n, sum of sizes, subset key) of sets that a light set can be similar to."""
     for batch in batches:
-        n, signature, rare, sums, keys = [], [], [], [], []
-        for _, s in _sets(batch.column(1), words):
-            n.append(len(s))
-            signature.append(_signature(s))
-            if len(s) > boundary:
-                k = prefix(len(s), percent)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                    weight = np.where(names[at] == s, rank[at], 0)
-                    rare.append(s[np.argsort(weight, kind="stable")[:k]].view(np.int64))
-                else:
-                    rare.append(s[:k].view(np.int64))
-            else:
-                rare.append(np.empty(0, np.int64))
-            a, b = _subset_keys(s, boundary, percent) if 0 < len(s) <= 100 * boundary // percent else ([], [])
-            sums.append(a)
-            keys.append(b)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "signature", "rare", "sums", "keys"],
-        )
+        rows, n, sums, keys = [], [], [], []
+        for row, s in _sets(batch.column(1), words):
+            if 0 < len(s) <= 100 * boundary // percent:
+                a, b = _subset_keys(s, boundary, percent)
+                rows += [row] * len(a)
+                n += [len(s)] * len(a)
+                sums += a
+                keys += b
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(sums, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n", "total", "key"])
+
+
+def _members(batches, words: int):
+    """Size, bucket counts and members of each text's set."""
+    for batch in batches:
+        sets = [s for _, s in _sets(batch.column(1), words)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "signature", "members"])
 
 
-def _full_sets(batches, words: int):
+def _shingles(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, s in _sets(batch.column(1), words)], pa.binary())], names=["doc_id", "members"])
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], names=["doc_id", "n", "shingle"])
 
 
 def _possible(batches, percent: int):
@@ -219,15 +220,14 @@ def components(edges: DataFrame) -> DataFrame:
         now = stash(small.filter("a != b").distinct())
 
 
-def _verified(pairs: DataFrame, posts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar."""
-    known = posts.select("doc_id", "signature", "n")
-    both = pairs.join(known.toDF("a", "sa", "na"), "a").join(known.toDF("b", "sb", "nb"), "b")
+    known = sets.select("doc_id", "signature", "n")
     fit = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    likely = stash(both.filter(fit).select("a", "b", "sa", "na", "sb", "nb").mapInArrow(remote(f"{_HERE}:_possible", percent=percent), "a long, b long"))
-    ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stash(texts.join(ids, "doc_id", "left_semi").mapInArrow(remote(f"{_HERE}:_full_sets", words=words), "doc_id long, members binary").dropDuplicates(["doc_id"]))
-    full = likely.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+    both = pairs.join(known.toDF("a", "sa", "na"), "a").join(known.toDF("b", "sb", "nb"), "b").filter(fit)
+    likely = stash(both.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(remote(f"{_HERE}:_possible", percent=percent), "a long, b long"))
+    members = sets.select("doc_id", "members")
+    full = likely.join(members.toDF("a", "xa"), "a").join(members.toDF("b", "xb"), "b")
     return full.select("a", "b", "xa", "xb").mapInArrow(remote(f"{_HERE}:_similar", percent=percent), "a long, b long")
 
 
@@ -238,20 +238,13 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     no shingles and stand alone; shorter texts than ``words`` have one, their whole sequence.  Rows of one doc_id are one
     document, of which the texts all link; a null doc_id is in no class and component_id is null.
     """
-    spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    first = stash(texts.mapInArrow(remote(f"{_HERE}:_classes", words=words), _CLASSES))
-    own = first.filter(F.col("digest").isNotNull()).select("doc_id", "n", "digest")
+    own = stash(texts.mapInArrow(remote(f"{_HERE}:_classes", words=words), "doc_id long, n long, digest binary"))
     classes = own.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
-    top = first.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("copies").alias("copies")).orderBy(F.desc("copies"), "shingle").limit(FREQUENT).toArrow()
-    names = np.array(top["shingle"].to_numpy()).view(np.uint64)
-    by = np.argsort(names)
-    frequent = spark.sparkContext.broadcast((names[by], np.array(top["copies"].to_numpy())[by]))
     sizes = {r["n"]: r["k"] for r in own.filter(F.col("n").between(1, SMALL)).groupBy("n").agg(F.count("*").alias("k")).collect()}
     boundary = choose_boundary(sizes, percent)
     labelled = stash(own.join(classes.filter("members > 1").select("digest", "class_id"), "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id")))
     named = texts.filter(F.col("doc_id").isNotNull())
-    posts = stash(named.mapInArrow(remote(f"{_HERE}:_posts", words=words, percent=percent, boundary=boundary, frequent=frequent), _POSTS))
     copies = labelled.filter("doc_id != class_id").select("doc_id", "class_id").distinct()
 
     def by_class(edges: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -260,34 +253,46 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         return edges
 
     # light: members of either size meet the first member of the other
-    light = posts.filter(F.size("sums") > 0).select("doc_id", "n", F.explode(F.arrays_zip("sums", "keys")).alias("x")).select("doc_id", "n", F.col("x.sums").alias("total"), F.col("x.keys").alias("key"))
+    light = named.mapInArrow(remote(f"{_HERE}:_light", words=words, percent=percent, boundary=boundary), "doc_id long, n long, total long, key long")
     light = stash(by_class(light, ["doc_id"]).distinct())
     ends = light.groupBy("total", "key").agg(F.min(F.when(F.col("n") * 2 <= F.col("total"), F.col("doc_id"))).alias("low"), F.min(F.when(F.col("n") * 2 >= F.col("total"), F.col("doc_id"))).alias("high"), F.count("*").alias("k")).filter("k > 1")
     met = light.join(ends, ["total", "key"])
     light_edges = met.filter("n * 2 <= total and high is not null").select(F.col("doc_id").alias("a"), F.col("high").alias("b")).unionByName(met.filter("n * 2 >= total and low is not null").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).filter("a != b").distinct()
 
-    # heavy: lists with two members or more
-    lists = posts.filter(F.size("rare") > 0).select("doc_id", "n", F.explode("rare").alias("shingle"))
-    shared = lists.groupBy("shingle").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("shingle")
-    members = stash(by_class(lists.join(shared, "shingle"), ["doc_id"]).distinct())
+    # heavy: sets with few shingles of their own, by how common theirs are
+    rows = named.mapInArrow(remote(f"{_HERE}:_own", words=words, percent=percent, boundary=boundary), "doc_id long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x = y")
+    alone = alone.groupBy(F.col("x").alias("doc_id")).agg(F.count_if(F.col("shingle").bitwiseAND(1) == 0).alias("whole"), F.count_if(F.col("shingle").bitwiseAND(1) == 1).alias("part"))
+    posted = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+    enough = ((F.col("n") > 100 * FULL // percent) | (F.coalesce("whole", F.lit(0)) >= posted)) & ((F.col("n") <= FULL) | (F.coalesce("part", F.lit(0)) >= posted))
+    open_sets = stash(labelled.filter((F.col("n") > boundary) & (F.col("doc_id") == F.col("class_id"))).distinct().join(alone, "doc_id", "left").filter(~enough).select("doc_id").distinct())
+    sets = stash(texts.join(open_sets, "doc_id", "left_semi").mapInArrow(remote(f"{_HERE}:_members", words=words), "doc_id long, n long, signature binary, members binary").dropDuplicates(["doc_id"]))
+    every = sets.select("doc_id", "n", "members").mapInArrow(remote(f"{_HERE}:_shingles"), "doc_id long, n long, shingle long")
+    common = every.groupBy("shingle").agg(F.count("*").alias("df"))
+    common = common.filter("df > 1")
+    # a set posts its rarest shingles; those of its own come first and make no list
+    ranked = every.join(common, "shingle")
+    each = ranked.groupBy("doc_id").agg(F.count("*").alias("shared"))
+    order = W.partitionBy("doc_id").orderBy("df", "shingle")
+    posts = ranked.join(each, "doc_id").filter(F.col("n") - F.col("shared") < posted).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= posted - (F.col("n") - F.col("shared")))
+    members = stash(posts.select("doc_id", "n", "shingle"))
     band = F.floor(F.log("n") / math.log(100 / percent))
     heads = members.groupBy("shingle", band.alias("band")).agg(F.min("doc_id").alias("head"), F.count("*").alias("k"))
     in_band = members.withColumn("band", band).join(heads.filter("k > 1"), ["shingle", "band"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     next_band = heads.select("shingle", F.col("head").alias("a"), F.col("band")).join(heads.select("shingle", F.col("head").alias("b"), (F.col("band") + 1).alias("band")), ["shingle", "band"]).select("a", "b")
     ordered = lambda e: e.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tried = stash(ordered(in_band.unionByName(next_band)))
-    edges = stash(_verified(tried, posts, texts, words, percent).unionByName(light_edges))
+    edges = stash(_verified(tried, sets, percent).unionByName(light_edges))
     groups = stash(components(edges))
 
     # what is left: members of different groups
     placed = stash(members.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle")
     rest = placed.join(mixed, "shingle")
-    a, b = rest.toDF("shingle", "a", "na", "ca"), rest.toDF("shingle", "b", "nb", "cb")
     a, b = rest.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), rest.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     cross = a.join(b, "shingle").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
     left = stash(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    more = _verified(left, posts, texts, words, percent)
+    more = _verified(left, sets, percent)
     final = components(edges.unionByName(more))
     out = labelled.join(final.toDF("class_id", "_component"), "class_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_component", "class_id").alias("component_id"))
