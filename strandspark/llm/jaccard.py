@@ -275,7 +275,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     each = ranked.groupBy("doc_id").agg(F.count("*").alias("shared"))
     order = W.partitionBy("doc_id").orderBy("df", "shingle")
     posts = ranked.join(each, "doc_id").filter(F.col("n") - F.col("shared") < posted).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= posted - (F.col("n") - F.col("shared")))
-    members = stash(posts.select("doc_id", "n", "shared", "shingle"))
+    # what a set has from this shingle on: all that it can share with one that has none of its rarer shingles
+    members = stash(posts.select("doc_id", "n", (F.col("shared") - F.col("place") + 1).alias("ahead"), "shingle"))
     band = F.floor(F.log("n") / math.log(100 / percent))
     heads = members.groupBy("shingle", band.alias("band")).agg(F.min("doc_id").alias("head"), F.count("*").alias("k"))
     in_band = members.withColumn("band", band).join(heads.filter("k > 1"), ["shingle", "band"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
@@ -289,10 +290,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     placed = stash(members.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle")
     rest = placed.join(mixed, "shingle")
-    side = lambda x: rest.select("shingle", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"), F.col("component").alias(f"c{x}"))
-    # shingles of its own can't be in an overlap: what either shares with any set bounds it
-    enough_shared = F.least("sa", "sb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    cross = side("a").join(side("b"), "shingle").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & enough_shared)
+    side = lambda x: rest.select("shingle", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("ahead").alias(f"s{x}"), F.col("component").alias(f"c{x}"))
+    # in the first list, by rarity, that two sets share, what either has ahead bounds their overlap; other lists may miss them
+    enough_ahead = F.least("sa", "sb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    cross = side("a").join(side("b"), "shingle").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & enough_ahead)
     left = stash(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     more = _verified(left, sets, percent)
     final = components(edges.unionByName(more))
