@@ -195,16 +195,19 @@ class Scorer:
         self.short = sum(1 << k for k, mark in enumerate(landmarks) if len(mark) < 6)
         self.known: dict[int, tuple | None] = {}
 
-    def _learn(self, words: dict[int, bytes]) -> None:
-        if len(self.known) + len(words) > KEPT:
-            self.known.clear()
-        self.known.update(dict.fromkeys(words))
+    def _learn(self, words: dict[int, bytes]) -> dict[int, tuple | None]:
+        out = dict.fromkeys(words)
         keys = list(words)
         keys = [k for at in range(0, len(keys), 4096) for k, likely in zip(keys[at : at + 4096], _likely([words[x] for x in keys[at : at + 4096]], self.landmarks, self.masks), strict=True) if likely]
         values = similarities([words[k] for k in keys], self.landmarks)
         for key, row in zip(keys, values, strict=True):
             at = np.flatnonzero(row)
-            self.known[key] = (at, row[at]) if len(at) else None
+            out[key] = (at, row[at]) if len(at) else None
+        if len(self.known) + len(out) > KEPT:
+            self.known.clear()
+        if len(out) <= KEPT:
+            self.known.update(out)
+        return out
 
     def sentences(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text of each sentence that has similar words, its kernel values; text of each similar word, its kernel values)."""
@@ -212,23 +215,27 @@ class Scorer:
         at = _candidates(w, self.masks, self.short, self.long)
         keys = w.hash[at]
         runs = _letter_runs(w, sentence)
-        fresh = {}
+        here, fresh = {}, {}  # values of these texts' own words, whatever is kept or dropped meanwhile
         unique, first = np.unique(keys, return_index=True)
         for key, i in zip(unique.tolist(), at[first].tolist(), strict=True):
-            if key not in self.known:
+            if key in self.known:
+                here[key] = self.known[key]
+            else:
                 fresh[key] = w.data[w.start[i] : w.end[i]].tobytes().lower()
         for _, letters in runs:
-            if hash(letters) not in self.known:
+            if hash(letters) in self.known:
+                here[hash(letters)] = self.known[hash(letters)]
+            else:
                 fresh[hash(letters)] = letters
         if fresh:
-            self._learn(fresh)
-        good = [k for k in unique.tolist() if self.known.get(k) is not None]
+            here.update(self._learn(fresh))
+        good = [k for k in unique.tolist() if here[k] is not None]
         use = np.isin(keys, np.array(good, np.uint64)) if good else np.zeros(len(keys), bool)
-        number = np.concatenate([sentence[at[use]], np.array([s for s, x in runs if self.known.get(hash(x)) is not None], np.int64)]).astype(np.int64)
-        found = keys[use].tolist() + [hash(x) for _, x in runs if self.known.get(hash(x)) is not None]
+        number = np.concatenate([sentence[at[use]], np.array([s for s, x in runs if here[hash(x)] is not None], np.int64)]).astype(np.int64)
+        found = keys[use].tolist() + [hash(x) for _, x in runs if here[hash(x)] is not None]
         each = np.zeros((len(found), len(self.landmarks)))
         for row, key in enumerate(found):
-            place, value = self.known[key]
+            place, value = here[key]
             each[row, place] = value
         numbers, row = np.unique(number, return_inverse=True)
         z = np.zeros((len(numbers), len(self.landmarks)))

@@ -177,6 +177,20 @@ def test_kernel_is_the_sum_over_subsequences():
     assert near[0] > 0.9 and near[1] > 0.6 and near[2] == 0
 
 
+def test_full_word_cache_loses_no_word(monkeypatch):
+    texts = [f"you idiot and the {x} i d i o t" for x in ("idiott", "idiota idioti idiotu", "idiote idiot.", "moron")]
+    column = pa.array([t.encode() for t in texts], pa.large_binary())
+    want = [toxicity.Scorer([b"^idiot^", b"^moron"]).sentences(w) for _, _, w in chunks(column, lower=True)]
+    for kept in (0, 1, 3):
+        monkeypatch.setattr(toxicity, "KEPT", kept)
+        scorer = toxicity.Scorer([b"^idiot^", b"^moron"])
+        for i, text in enumerate(texts):
+            _, _, w = next(chunks(column.slice(i, 1), lower=True))
+            got = scorer.sentences(w)
+            assert got[1].max(0)[0] > 0.99 and np.array_equal(got[1], want[0][1][want[0][0] == i]), text
+        assert len(scorer.known) <= kept
+
+
 def labelled(spark, n=400):
     rng = np.random.default_rng(3)
     words = [a + b for a in ("ba", "co", "di", "fu", "ge") for b in ("lor", "min", "tas", "vek", "dun")]
