@@ -7,12 +7,15 @@ A sentence's kernel value with a landmark is the largest one of its words (and o
 The machine works on sentences; a text's features are its best sentence margin and how many sentences are beyond zero, and a
 logistic calibration turns them into a probability.
 
-Only words that share gapped trigrams with landmarks reach the dynamic programme; the filter is a few numpy passes.
+Only words that can reach FLOOR with a landmark come to the dynamic programme: the filter sums what their subsequences of
+ORDER bytes have in common with landmarks, whatever the gaps, and divides by the least norm that a string of that length has.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +33,10 @@ LANDMARKS, SHORT, LONG, STRETCH = 40, 5, 9, 24
 #: Kernel values below this count as 0.
 FLOOR = 0.3
 #: Words whose kernel values a worker keeps.
-KEPT = 200_000
-_GAPS = ((1, 1), (1, 2), (2, 1), (2, 2))
-_CODE = (np.arange(256, dtype=np.uint16) * 7 + 3) & 31
-_CODE[97:123] = np.arange(1, 27)
-_CODE[65:91] = np.arange(1, 27)
+KEPT = 500_000
 #: A mark at both ends of a word, as white space is in a text: insults are told from words that hold them by chance.
 _EDGE = b"^"
-_CODE[[94, 32, 9, 10, 11, 12, 13]] = 28
-_JUNK = re.compile(rb"[^a-z0-9\x80-\xff]+")
+_JUNK, _FOREIGN = re.compile(rb"[^a-z0-9\x80-\xff]+"), re.compile(rb"[^a-z0-9]+")
 
 
 def _padded(words: list[bytes], width: int) -> np.ndarray:
@@ -93,15 +91,33 @@ def _stretches(word: bytes) -> list[bytes]:
     return [word[i : i + STRETCH] for i in range(0, len(word) - STRETCH // 2, STRETCH // 2)]
 
 
-def similarities(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
-    """Normalised kernel values, the larger of the word as it stands and its letters and digits alone."""
+def _forms(word: bytes) -> set[bytes]:
+    """The word as it stands, without ASCII signs, without any signs (of Unicode), and its ASCII letters and digits alone."""
+    out = {word, _JUNK.sub(b"", word)}
+    if not word.isascii():
+        letters = "".join(c for c in word.decode("utf-8", "ignore") if c.isalnum())
+        out |= {letters.encode(), _FOREIGN.sub(b"", word)}
+    return out
+
+
+def _pieces(words: list[bytes]) -> tuple[list[bytes], list[int]]:
+    """What the kernel takes of each word, and the word's number."""
     pieces, owner = [], []
     for i, w in enumerate(words):
-        for form in {w, _JUNK.sub(b"", w)}:
-            for piece in _stretches(_EDGE + form + _EDGE):
-                if len(piece) >= ORDER + 2:
-                    pieces.append(piece)
-                    owner.append(i)
+        for form in _forms(w):
+            if ORDER <= len(form) <= STRETCH - 2:
+                pieces.append(_EDGE + form + _EDGE)
+                owner.append(i)
+            elif len(form) >= ORDER:
+                more = [x for x in _stretches(_EDGE + form + _EDGE) if len(x) >= ORDER + 2]
+                pieces += more
+                owner += [i] * len(more)
+    return pieces, owner
+
+
+def similarities(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
+    """Normalised kernel values, the largest of the word's forms."""
+    pieces, owner = _pieces(words)
     out = np.zeros((len(words), len(landmarks)))
     own = np.sqrt(self_kernel(landmarks)) if landmarks else np.zeros(0)
     by = np.argsort([len(p) for p in pieces], kind="stable")
@@ -114,47 +130,6 @@ def similarities(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     return out
 
 
-def _trigrams(landmarks: list[bytes]) -> np.ndarray:
-    """For each trigram, the bits of the landmarks that have it."""
-    table = np.zeros(1 << 15, dtype=np.uint64)
-    for k, mark in enumerate(landmarks):
-        c = _CODE[np.frombuffer(mark, np.uint8)].astype(np.uint32)
-        for i in range(len(c) - 2):
-            table[(c[i] << 10) | (c[i + 1] << 5) | c[i + 2]] |= np.uint64(1 << k)
-    return table
-
-
-def _likely(words: list[bytes], landmarks: list[bytes], table: np.ndarray) -> np.ndarray:
-    """Words that have half the trigrams of one landmark (two at least), gaps of one byte allowed."""
-    marked = [_EDGE + w[: 4 * STRETCH - 2] + _EDGE for w in words]
-    code = _CODE[_padded(marked, 4 * STRETCH if any(len(w) > STRETCH for w in marked) else STRETCH)]
-    masks = []
-    for a, b in _GAPS:
-        n = code.shape[1] - a - b
-        masks.append(table[(code[:, :n] << 10) | (code[:, a : a + n] << 5) | code[:, a + b : a + b + n]])
-    mask = np.concatenate(masks, axis=1)
-    out = np.zeros(len(words), dtype=bool)
-    for k, mark in enumerate(landmarks):
-        out |= ((mask >> np.uint64(k)) & np.uint64(1)).sum(1) >= max(2, (len(mark) - 2) // 2)
-    return out | np.array([len(w) > 4 * STRETCH for w in words])
-
-
-def _candidates(w: Words, table: np.ndarray, short: int, long: int) -> np.ndarray:
-    """Words where trigrams of one landmark (two, or three of a long one) begin within two bytes of each other."""
-    if len(w.data) < 8 or not len(w.start):
-        return np.empty(0, np.int64)
-    code = _CODE[w.data].astype(np.uint16)
-    mask = np.zeros(len(code) + 4, dtype=np.uint64)
-    for a, b in _GAPS:
-        n = len(code) - a - b
-        mask[:n] |= table[(code[:n] << 10) | (code[a : a + n] << 5) | code[a + b : a + b + n]]
-    two = mask[:-2] & (mask[1:-1] | mask[2:])
-    three = two[:-2] & (two[1:-1] | two[2:])
-    hit = (two[: len(code)] & np.uint64(short)) | (three[: len(code)] & np.uint64(long))
-    total = np.concatenate([[0], np.cumsum(hit != 0, dtype=np.int32)])
-    return np.flatnonzero(((w.end - w.start) >= ORDER) & (total[w.end] > total[np.maximum(w.start - 1, 0)]))
-
-
 def _sentences(w: Words) -> np.ndarray:
     """Number of the sentence of each word: they end with . ! ? or at a line end or the end of a text."""
     if not len(w.start):
@@ -186,19 +161,68 @@ def _letter_runs(w: Words, sentence: np.ndarray) -> list[tuple[int, bytes]]:
     return out
 
 
+class Filter:
+    """Tells words that no landmark can have a kernel value of FLOOR with; it passes every other one.
+
+    The kernel is summed over the word's subsequences of ORDER = 3 bytes: first with the landmark that weighs each most, then,
+    for the words left, with each landmark.  A string's norm is at least that of one of its length without repeats.
+    """
+
+    def __init__(self, landmarks: list[bytes]) -> None:
+        letters = sorted(set(b"".join(landmarks)))
+        self.base = len(letters) + 1
+        self.code = np.zeros(256, np.int32)
+        self.code[letters] = np.arange(1, self.base)
+        self.row, rows = np.zeros(self.base**3, np.int32), [np.zeros(len(landmarks), np.float32)]
+        norms = np.sqrt(self_kernel(landmarks)) if landmarks else []
+        for k, mark in enumerate(landmarks):
+            c = self.code[np.frombuffer(mark, np.uint8)].tolist()
+            for x, y, z in combinations(range(len(c)), ORDER):
+                key = (c[x] * self.base + c[y]) * self.base + c[z]
+                if not self.row[key]:
+                    self.row[key] = len(rows)
+                    rows.append(np.zeros(len(landmarks), np.float32))
+                rows[self.row[key]][k] += DECAY ** (z - x + 1) / norms[k]
+        self.each = np.array(rows)
+        self.most = self.each.max(1, initial=0)[self.row]
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        pieces, owner = _pieces(words)
+        out, by = np.zeros(len(words), bool), {}
+        for piece, i in zip(pieces, owner, strict=True):
+            group = by.setdefault(len(piece), ([], []))
+            group[0].append(piece)
+            group[1].append(i)
+        for n, (group, own) in by.items():
+            codes, own = self.code[np.frombuffer(b"".join(group), np.uint8).reshape(-1, n)].T, np.array(own)
+            x, y, z = np.array(list(combinations(range(n), ORDER))).T
+            weight = (DECAY ** (z - x + 1)).astype(np.float32)
+            least = 0.999 * FLOOR * float(np.sqrt(np.square(weight).sum()))
+            step = max(1, (1 << 19) // len(x))
+            for start in range(0, len(own), step):
+                part = np.ascontiguousarray(codes[:, start : start + step])
+                key = (part[x] * self.base + part[y]) * self.base + part[z]
+                left = np.flatnonzero(weight @ self.most[key] >= least)
+                if len(left):
+                    row = self.row[key[:, left]].T
+                    word, place = np.nonzero(row)
+                    values = self.each[row[word, place]] * weight[place][:, None]
+                    sums = np.add.reduceat(values, np.searchsorted(word, np.arange(len(left))))
+                    out[own[start + left[sums.max(1) >= least]]] = True
+        return out
+
+
 class Scorer:
     """Kernel values of sentences, with the words seen before kept."""
 
     def __init__(self, landmarks: list[bytes]) -> None:
-        self.landmarks, self.masks = landmarks, _trigrams(landmarks)
-        self.long = sum(1 << k for k, mark in enumerate(landmarks) if len(mark) >= 6)
-        self.short = sum(1 << k for k, mark in enumerate(landmarks) if len(mark) < 6)
+        self.landmarks, self.possible = landmarks, Filter(landmarks)
         self.known: dict[int, tuple | None] = {}
 
     def _learn(self, words: dict[int, bytes]) -> dict[int, tuple | None]:
         out = dict.fromkeys(words)
         keys = list(words)
-        keys = [k for at in range(0, len(keys), 4096) for k, likely in zip(keys[at : at + 4096], _likely([words[x] for x in keys[at : at + 4096]], self.landmarks, self.masks), strict=True) if likely]
+        keys = [k for at in range(0, len(keys), 4096) for k, possible in zip(keys[at : at + 4096], self.possible([words[x] for x in keys[at : at + 4096]]), strict=True) if possible]
         values = similarities([words[k] for k in keys], self.landmarks)
         for key, row in zip(keys, values, strict=True):
             at = np.flatnonzero(row)
@@ -212,11 +236,11 @@ class Scorer:
     def sentences(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text of each sentence that has similar words, its kernel values; text of each similar word, its kernel values)."""
         sentence = _sentences(w)
-        at = _candidates(w, self.masks, self.short, self.long)
+        at = np.flatnonzero(w.end - w.start >= ORDER)
         keys = w.hash[at]
         runs = _letter_runs(w, sentence)
         here, fresh = {}, {}  # values of these texts' own words, whatever is kept or dropped meanwhile
-        unique, first = np.unique(keys, return_index=True)
+        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         for key, i in zip(unique.tolist(), at[first].tolist(), strict=True):
             if key in self.known:
                 here[key] = self.known[key]
@@ -229,8 +253,7 @@ class Scorer:
                 fresh[hash(letters)] = letters
         if fresh:
             here.update(self._learn(fresh))
-        good = [k for k in unique.tolist() if here[k] is not None]
-        use = np.isin(keys, np.array(good, np.uint64)) if good else np.zeros(len(keys), bool)
+        use = np.array([here[k] is not None for k in unique.tolist()], bool)[inverse]
         number = np.concatenate([sentence[at[use]], np.array([s for s, x in runs if here[hash(x)] is not None], np.int64)]).astype(np.int64)
         found = keys[use].tolist() + [hash(x) for _, x in runs if here[hash(x)] is not None]
         each = np.zeros((len(found), len(self.landmarks)))
@@ -396,8 +419,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     return {"landmarks": landmarks, "weights": root @ b[:-1], "rest": float(b[-1]), "calibration": logistic(features[rest], y[rest], weight).tolist()}
 
 
+@lru_cache(1)
+def _scorer(landmarks: tuple[bytes, ...]) -> Scorer:
+    return Scorer(list(landmarks))
+
+
 def _scores(batches, model: dict):
-    scorer = Scorer(model["landmarks"])
+    scorer = _scorer(tuple(model["landmarks"]))
     *slopes, intercept = model["calibration"]
     for batch in batches:
         out = np.empty(batch.num_rows)

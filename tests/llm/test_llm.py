@@ -191,6 +191,21 @@ def test_full_word_cache_loses_no_word(monkeypatch):
         assert len(scorer.known) <= kept
 
 
+def test_filter_loses_no_similar_word():
+    marks = [b"^idiot^", b"^bl\xc3\xb6dm", b"oron^", b"worthless"]
+    gapped = ["i--d--i--o--t", "idi---ot", "id1ot", "idixxot", "i•d•i•o•t", "idi\u200bot", "b•l•ö•d•m•a•n•n", "iédéiéoét", "w0rthl3ss"]
+    rng = np.random.default_rng(4)
+    some = ["".join(c + "".join(rng.choice(list("ab-x\u00e9\u2022"), rng.integers(0, 3))) for c in w if rng.random() < 0.8) for w in ["idiot", "blöd", "moron", "worthless", "weather", "otherwise"] * 300]
+    words = [w.encode() for w in [*gapped, *some]]
+    want = toxicity.similarities(words, marks)
+    assert (want[:9].max(1) > toxicity.FLOOR).all() and (want[[4, 5, 6], [0, 0, 1]] > [0.99, 0.99, 0.5]).all()
+    scorer = toxicity.Scorer(marks)
+    possible = scorer.possible(words)
+    assert possible[want.any(1)].all() and not possible.all() and want[9:].any(1).sum() > 100
+    [(_, _, w)] = chunks(pa.array([b" ".join(words)], pa.large_binary()), lower=True)
+    assert len(scorer.sentences(w)[3]) == want.any(1).sum()
+
+
 def labelled(spark, n=400):
     rng = np.random.default_rng(3)
     words = [a + b for a in ("ba", "co", "di", "fu", "ge") for b in ("lor", "min", "tas", "vek", "dun")]
