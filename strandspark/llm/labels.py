@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of a training sample: rows of each class (about), and bytes of a training text.  Scoring has no such bounds.
 PER_CLASS, TEXT_BYTES = 2000, 16_000
+#: Bounds of a sample of whole texts: bytes of a class (then fewer rows are taken), and bytes of a text that is taken at all.
+CLASS_BYTES, LONGEST = 8 << 20, 1 << 20
 _FINE = 1 << 24
 
 
@@ -16,12 +18,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, text_bytes: int = TEXT_BYTES) -> tuple[list[str], list, list[int], dict]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, text_bytes: int | None = TEXT_BYTES) -> tuple[list[str], list, list[int], dict]:
     """Texts, labels, fold numbers (1 to 4) and class counts of about ``per_class`` labelled rows of each class.
 
     ``labels`` has (doc_id, label); null labels and held-out rows are left out.  The rows are those with the smallest hash
     of the id, the same on every run.  Only their ids meet the texts, so no text is shuffled; the ids are at most
-    3 * per_class * classes, and more than 1000 classes are refused.
+    3 * per_class * classes, and more than 1000 classes are refused.  Without ``text_bytes`` texts are whole: a class's rows
+    end, in the order of that hash, where their texts have ``CLASS_BYTES``; texts beyond ``LONGEST`` aren't taken.
     """
     known = labels.select("doc_id", F.col(label).alias("_label")).filter(F.col("_label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).limit(1001).collect()}
@@ -30,11 +33,25 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
     if not counts:
         return [], [], [], {}
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(_FINE))
-    most = F.lit(0)
-    for value, n in sorted(counts.items()):
-        most = F.when(F.col("_label") == F.lit(value), F.lit(int(min(_FINE, 1.2 * per_class / n * _FINE)))).otherwise(most)
-    ids = known.filter(place < most).limit(3 * per_class * len(counts))
-    text = F.substring(F.coalesce("text", F.lit("")), 1, text_bytes)
+
+    def below(ends: dict) -> DataFrame:
+        most = F.lit(0)
+        for value, end in sorted(ends.items()):
+            most = F.when(F.col("_label") == F.lit(value), F.lit(end)).otherwise(most)
+        return known.filter(place < most).limit(3 * per_class * len(counts))
+
+    ends = {value: int(min(_FINE, 1.2 * per_class / n * _FINE)) for value, n in counts.items()}
+    text = F.coalesce("text", F.lit(""))
+    if text_bytes is None:
+        size = F.octet_length(text)
+        docs = docs.filter(size <= LONGEST)
+        sizes = docs.select("doc_id", size.alias("_size")).join(F.broadcast(below(ends)), "doc_id").select("_label", place.alias("_place"), "_size").toPandas()
+        for value, of in sizes.sort_values(["_place", "_size"]).groupby("_label"):
+            over = of["_place"][of["_size"].cumsum() > CLASS_BYTES]
+            ends[value] = min([ends[value], *over.head(1).tolist()])
+    else:
+        text = F.substring(text, 1, text_bytes)
+    ids = below(ends)
     rows = docs.select("doc_id", text.alias("_text")).join(F.broadcast(ids), "doc_id").withColumn("_fold", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))).toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("_text", "ascending"), ("_label", "ascending")])
     return rows["_text"].to_pylist(), rows["_label"].to_pylist(), rows["_fold"].to_pylist(), counts

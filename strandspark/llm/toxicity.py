@@ -369,13 +369,13 @@ def _text_features(n: int, text: np.ndarray, margin: np.ndarray, word_text: np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> dict:
-    """Landmarks, machine and calibration from a bounded sample of labelled rows that :func:`held_out` leaves.
+    """Landmarks, machine and calibration from whole texts of a bounded sample of labelled rows that :func:`held_out` leaves.
 
     A toxic text's sentences are not labelled one by one: at first those most like the landmarks stand for it, then those
     with the best margins, three times over; all sentences of clean texts are clean.  Without both classes every score is
     the share of toxic labels (0 without labels).
     """
-    texts, y, fold, counts = sample(docs, labels, label, per_class, 6000)
+    texts, y, fold, counts = sample(docs, labels, label, per_class, None)
     n = sum(counts.values())
     base = counts.get(1, 0) / n if n else 0.0
     constant = {"landmarks": [], "weights": np.zeros(0), "rest": 0.0, "calibration": [0.0, 0.0, 0.0, 0.0, float(np.log((base + 1e-6) / (1 - base + 1e-6)))]}

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from strandspark.llm import archive, chat, contamination, jaccard, language, mixing, quality, rules, substrings, toxicity
+from strandspark.llm import labels as labels_module
 from strandspark.llm.text import chunks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -228,6 +229,19 @@ def test_toxicity_learns(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).count() == 403
 
 
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    texts, labels = labelled(spark, 200)
+    long = [" ".join(["basta colon ditas."] * 600) + " " + t for t in texts]
+    docs = table(spark, long)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(i % 2) for i in range(200)]) > 0.95
+    monkeypatch.setattr(labels_module, "CLASS_BYTES", 300_000)
+    some, marks, _, counts = labels_module.sample(docs, labels, "toxic", text_bytes=None)
+    assert set(some) <= set(long) and sum(counts.values()) > len(some)
+    for k in (0, 1):
+        assert 250_000 < sum(len(t) for t, m in zip(some, marks, strict=True) if m == k) <= 300_000
+
+
 def test_quality_learns(spark):
     texts, labels = labelled(spark)
     texts = [t if i % 2 else " ".join(x + "%%%" for x in t.split()) for i, t in enumerate(texts)]
