@@ -22,7 +22,7 @@ _HERE = "strandspark.llm.rules"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Dimensions, their least standard deviations (so that a group without any symbol or repeated line isn't a point), share of
 #: rows in the core, concentration steps, tail beyond which a document goes, rows of a group for an estimate of its own.
-FLOORS, CORE, STEPS, TAIL, LEAST_ROWS = (0.08, 0.15, 0.15, 0.15, 0.5), 0.75, 5, 1e-7, 50
+FLOORS, CORE, STEPS, TAIL, LEAST_ROWS = (0.05, 0.1, 0.1, 0.1, 0.3), 0.75, 5, 1e-3, 50
 SIZE = len(FLOORS)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True

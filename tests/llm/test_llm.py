@@ -289,6 +289,17 @@ def test_rules_reject_outliers(spark):
     assert all(got[i] for i in range(120)) and not any(got[i] for i in range(120, 130))
 
 
+def test_rules_reject_each_kind_alone(spark):
+    rng = np.random.default_rng(6)
+    words = [f"wo{i}" for i in range(3000)]
+    lines = lambda n: [" ".join(rng.choice(words, 10, False)) for _ in range(n)]
+    some = lines(10)
+    junk = ["\n".join(some + some[:8] + lines(2)), " ".join(x + "#" * (i % 2) for i, x in enumerate(rng.choice(words, 200, False))), " ".join([*lines(11), *some[:4], *some[:4], some[0]])]
+    texts = ["\n".join(lines(20)) for _ in range(120)] + junk
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(120)) and not got[121].kept and not got[122].kept and not got[121].base_failed and not got[122].base_failed and not got[120].kept
+
+
 def test_chi_square():
     assert abs(rules.chi_square(0.95, 1) - 3.8415) < 1e-3 and abs(rules.chi_square(0.99, 5) - 15.0863) < 1e-3
 
