@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .ship import remote, stash
 from .text import chunks, grams, mix
@@ -183,8 +184,8 @@ def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """doc_id, lang, source, COUNTS, base_failed, distance and kept for each row.
 
     base_failed: fewer than 50 words, or more than half of them in repeated windows.  ``distance`` is the squared
-    Mahalanobis distance from the group's robust mean; null where there is none: failed rows, and rows of groups too small
-    to judge, which are kept.  Sources with fewer than ``LEAST_ROWS`` rows of a language are judged together.  A null
+    Mahalanobis distance from the group's robust mean; null only for failed rows.  Sources with fewer than ``LEAST_ROWS``
+    rows of a language are judged together; where those are fewer too, by all of the language, then by all rows.  A null
     language or source is one of its own.  Null and empty texts fail the base rules.
     """
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
@@ -192,13 +193,21 @@ def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     lang = F.concat(F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n")), F.lit("\n"))
     own = F.concat(lang, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     passed = counted.filter("not base_failed").select("_id", "x", own.alias("own"), lang.alias("wide"))
-    large = passed.groupBy("own").agg(F.count("*").alias("rows")).filter(F.col("rows") >= LEAST_ROWS).select("own", F.lit(True).alias("large"))
-    vectors = passed.join(large, "own", "left").select("_id", F.when(F.col("large"), F.col("own")).otherwise(F.col("wide")).alias("grp"), "x")
-    vectors = stash(vectors)
-    known = estimate(vectors).filter(F.col("rows") >= LEAST_ROWS)
+    of = W.partitionBy("wide")
+    sizes = passed.groupBy("own", "wide").agg(F.count("*").alias("rows")).withColumn("small", F.sum(F.when(F.col("rows") < LEAST_ROWS, F.col("rows"))).over(of)).withColumn("whole", F.sum("rows").over(of))
+    level = F.when(F.col("rows") >= LEAST_ROWS, F.col("own")).when(F.col("small") >= LEAST_ROWS, F.col("wide")).when(F.col("whole") >= LEAST_ROWS, F.concat(F.lit("w"), "wide")).otherwise(F.lit("a"))
+    levels = stash(sizes.select("own", "wide", level.alias("grp")))
+    vectors = stash(passed.join(levels.select("own", "grp"), "own").select("_id", "wide", "grp", "x"))
+    wholes = levels.filter(F.col("grp") == F.concat(F.lit("w"), "wide")).select("wide", "grp").distinct()
+    parts = vectors.filter((F.col("grp") != "a") & ~F.col("grp").startswith("w")).select("grp", "x")
+    if wholes.limit(1).count():
+        parts = parts.unionByName(vectors.drop("grp").join(wholes, "wide").select("grp", "x"))
+    if levels.filter("grp = 'a'").limit(1).count():
+        parts = parts.unionByName(vectors.select(F.lit("a").alias("grp"), "x"))
+    known = estimate(parts)
     far = vectors.join(known, "grp").select("_id", _distance().alias("distance"))
     limit = chi_square(1 - tail, SIZE)
-    return counted.join(far, "_id", "left").withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).drop("_id", "x")
+    return counted.join(far, "_id", "left").withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= limit)).drop("_id", "x")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,16 @@ def test_rules_reject_each_kind_alone(spark):
     assert all(got[i].kept for i in range(120)) and not got[121].kept and not got[122].kept and not got[121].base_failed and not got[122].base_failed and not got[120].kept
 
 
+def test_rules_judge_small_groups(spark):
+    rng = np.random.default_rng(8)
+    words = [f"wo{i}" for i in range(3000)]
+    groups = [("en", "s")] * 100 + [("en", "rare")] * 3 + [("xx", "s")] * 3 + [(None, None)] * 2
+    junk = {102, 105, 107}
+    rows = [(i, " ".join(x + "#$%" * (i in junk) for x in rng.choice(words, 200, False)), *g) for i, g in enumerate(groups)]
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and {i for i, r in got.items() if not r.kept} == junk and all(r.distance is not None for r in got.values())
+
+
 def test_chi_square():
     assert abs(rules.chi_square(0.95, 1) - 3.8415) < 1e-3 and abs(rules.chi_square(0.99, 5) - 15.0863) < 1e-3
 
