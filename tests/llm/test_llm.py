@@ -314,6 +314,15 @@ def test_chi_square():
     assert abs(rules.chi_square(0.95, 1) - 3.8415) < 1e-3 and abs(rules.chi_square(0.99, 5) - 15.0863) < 1e-3
 
 
+def test_pipeline_keeps_every_pass(spark, texts):
+    import corpus_pipeline
+
+    mixed = corpus_pipeline.source_mixing(spark, table(spark, texts), "")
+    rows = mixed.collect()
+    assert max(len(r.passes) for r in rows) == 2 and all(sum(x.words for x in r.passes) == r.taken for r in rows)
+    assert mixing.training_order(mixed).count() == sum(len(r.passes) for r in rows) > len(rows)
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
