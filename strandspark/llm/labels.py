@@ -6,10 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of a training sample: rows of each class (about), and bytes of a training text.  Scoring has no such bounds.
-PER_CLASS, TEXT_BYTES = 2000, 16_000
-#: Bounds of a sample of whole texts: bytes of a class (then fewer rows are taken), and bytes of a text that is taken at all.
-CLASS_BYTES, LONGEST = 8 << 20, 1 << 20
+#: Bounds of a training sample: rows of each class (about), bytes of their whole texts (then fewer rows are taken), and bytes of
+#: a text that is taken at all.  Scoring has no such bounds.
+PER_CLASS, CLASS_BYTES, LONGEST = 2000, 8 << 20, 1 << 20
 _FINE = 1 << 24
 
 
@@ -18,41 +17,48 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, text_bytes: int | None = TEXT_BYTES) -> tuple[list[str], list, list[int], dict]:
-    """Texts, labels, fold numbers (1 to 4) and class counts of about ``per_class`` labelled rows of each class.
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> tuple[list[str], list, list[int], dict]:
+    """Whole texts, labels, fold numbers (1 to 4) and class counts of about ``per_class`` labelled rows of each class.
 
-    ``labels`` has (doc_id, label); null labels and held-out rows are left out.  The rows are those with the smallest hash
-    of the id, the same on every run.  Only their ids meet the texts, so no text is shuffled; the ids are at most
-    3 * per_class * classes, and more than 1000 classes are refused.  Without ``text_bytes`` texts are whole: a class's rows
-    end, in the order of that hash, where their texts have ``CLASS_BYTES``; texts beyond ``LONGEST`` aren't taken.
+    ``labels`` has (doc_id, label), or is ``docs`` itself; null labels and held-out rows are left out, and ids with several
+    different labels in a table of their own.  The rows are those with the smallest hash of the id, the same on every run; a class's rows end, in the order of that hash, where their texts have
+    ``CLASS_BYTES``, and texts beyond ``LONGEST`` aren't taken.  Only ids below a bound on the hash meet the texts.  Equal
+    rows count once, and at most 3 * per_class * classes rows (those with the smallest hashes of id and text) come to the
+    driver, however often an id repeats.  More than 1000 classes are refused.
     """
-    known = labels.select("doc_id", F.col(label).alias("_label")).filter(F.col("_label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).limit(1001).collect()}
+    own = labels is docs  # labels that are a column of the documents need no join
+    text = F.coalesce("text", F.lit("")).alias("_text")
+    known = labels.select("doc_id", F.col(label).alias("_label"), *([text] if own else [])).filter(F.col("_label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    if not own:
+        known = known.groupBy("doc_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_other")).filter("_label = _other").drop("_other")
+    counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).orderBy("_label").limit(1001).collect()}
     if len(counts) > 1000:
         raise ValueError("more than 1000 classes")
     if not counts:
         return [], [], [], {}
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(_FINE))
+    most = 3 * per_class * len(counts)
 
-    def below(ends: dict) -> DataFrame:
-        most = F.lit(0)
-        for value, end in sorted(ends.items()):
-            most = F.when(F.col("_label") == F.lit(value), F.lit(end)).otherwise(most)
-        return known.filter(place < most).limit(3 * per_class * len(counts))
+    def below(ends: dict) -> Column:
+        end = F.lit(0)
+        for value, e in sorted(ends.items()):
+            end = F.when(F.col("_label") == F.lit(value), F.lit(e)).otherwise(end)
+        return place < end
 
     ends = {value: int(min(_FINE, 1.2 * per_class / n * _FINE)) for value, n in counts.items()}
-    text = F.coalesce("text", F.lit(""))
-    if text_bytes is None:
-        size = F.octet_length(text)
-        docs = docs.filter(size <= LONGEST)
-        sizes = docs.select("doc_id", size.alias("_size")).join(F.broadcast(below(ends)), "doc_id").select("_label", place.alias("_place"), "_size").toPandas()
-        for value, of in sizes.sort_values(["_place", "_size"]).groupby("_label"):
-            over = of["_place"][of["_size"].cumsum() > CLASS_BYTES]
-            ends[value] = min([ends[value], *over.head(1).tolist()])
+    if own:
+        texts = known.filter(below(ends))
     else:
-        text = F.substring(text, 1, text_bytes)
-    ids = below(ends)
-    rows = docs.select("doc_id", text.alias("_text")).join(F.broadcast(ids), "doc_id").withColumn("_fold", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))).toArrow()
+        texts = docs.select("doc_id", text).join(F.broadcast(known.filter(below(ends)).orderBy(place, "doc_id").limit(most)), "doc_id")
+    order = [place.alias("_place"), F.xxhash64("_text").alias("_hash")]
+    fit = texts.filter(F.octet_length("_text") <= LONGEST)
+    sizes = fit.select("doc_id", "_label", *order, F.octet_length("_text").alias("_size")).distinct().orderBy("_place", "doc_id", "_hash", "_label").limit(most).toPandas()
+    for value, of in sizes.groupby("_label"):
+        over = of["_place"][of["_size"].cumsum() > CLASS_BYTES]
+        ends[value] = min([ends[value], *over.head(1).tolist()])
+    last = int(sizes["_place"].max()) if len(sizes) == most else _FINE
+    rows = fit.filter(below(ends) & (place <= last)).select("doc_id", "_label", "_text", *order).dropDuplicates(["doc_id", "_label", "_hash"])
+    rows = rows.orderBy("_place", "doc_id", "_hash", "_label").limit(most).withColumn("_fold", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))).toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("_text", "ascending"), ("_label", "ascending")])
     return rows["_text"].to_pylist(), rows["_label"].to_pylist(), rows["_fold"].to_pylist(), counts
 

@@ -1,6 +1,6 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are the UTF-8 byte n-grams of a lower-cased text (a run of white space counts as one space byte each), hashed to a
+Features are the n-grams of a text's characters (code points, lower-cased; white space of ASCII counts as spaces), hashed to a
 fixed table.  A feature's value is its count divided by the text's n-grams, times its inverse document frequency.  Training
 is follow-the-regularised-leader with elastic-net penalties; a temperature from a fold of its own calibrates the result.
 """
@@ -19,30 +19,40 @@ from .text import CHUNK
 _HERE = "strandspark.llm.language"
 BITS, ORDERS, SCALE = 16, (1, 2, 3), 20.0
 UNKNOWN = "und"
-_LOWER = np.arange(256, dtype=np.uint32)
-_LOWER[65:91] += 32
+#: Code points below this are lower-cased where that is one code point; all cased scripts lie there.
+_CASED = 0x1F000
+_LOWER = np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(_CASED)], dtype=np.uint32)
 _LOWER[[9, 10, 11, 12, 13]] = 32
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[65:91] = _LETTER[97:123] = True
+_ALPHA = np.array([chr(i).isalpha() for i in range(_CASED)])
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
-def features(data: np.ndarray, order: int) -> np.ndarray:
-    """Table places of the n-grams that begin at each byte (fewer at the end)."""
-    b = _LOWER[data]
-    n = len(b) - order + 1
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased code points of texts that stand one after another in UTF-8 bytes, their offsets, and which are letters."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
+    cased = points < _CASED
+    letters = np.where(cased, _ALPHA[np.where(cased, points, 0)], False)
+    if not cased.all():
+        letters[~cased] = [chr(p).isalpha() for p in points[~cased].tolist()]
+    return np.where(cased, _LOWER[np.where(cased, points, 0)], points), before[offsets], letters
+
+
+def features(points: np.ndarray, order: int) -> np.ndarray:
+    """Table places of the n-grams that begin at each code point (fewer at the end)."""
+    n = len(points) - order + 1
     if n <= 0:
         return np.empty(0, np.uint32)
     with np.errstate(over="ignore"):
-        h = b[:n].copy()
+        h = points[:n].copy()
         for k in range(1, order):
-            h = (h << np.uint32(8)) | b[k : k + n]
+            h = h * np.uint32(0x01000193) ^ (points[k : k + n] * np.uint32(0x9E3779B1))
         return ((h + np.uint32(order)) * _MULTIPLY[order - 1]) >> np.uint32(32 - BITS)
 
 
 def _counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(text, np.uint8)
-    return np.unique(np.concatenate([features(data, k) for k in ORDERS]), return_counts=True) if len(data) else (np.empty(0, np.uint32), np.empty(0))
+    points, _, _ = code_points(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    return np.unique(np.concatenate([features(points, k) for k in ORDERS]), return_counts=True) if len(points) else (np.empty(0, np.uint32), np.empty(0))
 
 
 def train(texts: list[bytes], y: np.ndarray, classes: int, alpha=0.5, beta=1.0, l1=2e-3, l2=1e-3, epochs=4) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +85,13 @@ def train(texts: list[bytes], y: np.ndarray, classes: int, alpha=0.5, beta=1.0,
     return (solve(z, n, l1) * idf[:, None] * SCALE).astype(np.float32), solve(zb, nb, 0.0)
 
 
-def _logits(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, intercept: np.ndarray) -> np.ndarray:
-    """Of texts that stand one after another in ``data``; n-grams across a border of two texts don't count."""
+def _logits(points: np.ndarray, offsets: np.ndarray, weights: np.ndarray, intercept: np.ndarray) -> np.ndarray:
+    """Of texts that stand one after another in ``points``; n-grams across a border of two texts don't count."""
     lengths = np.diff(offsets)
     total = np.zeros((len(lengths), weights.shape[1]))
     grams = np.zeros(len(lengths))
     for k in ORDERS:
-        place = features(data, k)
+        place = features(points, k)
         owner_ends = np.maximum(offsets[1:] - k + 1, offsets[:-1])
         use = lengths >= k
         grams += np.where(use, lengths - k + 1, 0)
@@ -94,9 +104,9 @@ def _logits(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, intercep
     return total / np.maximum(grams, 1)[:, None] + intercept
 
 
-def fit(docs: DataFrame, per_class: int = 800, text_bytes: int = 4000) -> dict:
+def fit(docs: DataFrame, per_class: int = 800) -> dict:
     """A model from the text and non-null lang of rows that :func:`held_out` leaves, by a bounded sample (see ``labels.sample``)."""
-    texts, y, fold, counts = sample(docs, docs, "lang", per_class, text_bytes)
+    texts, y, fold, counts = sample(docs, docs, "lang", per_class)
     names = sorted(counts)
     if not names:
         return {"names": [UNKNOWN], "weights": np.zeros((1 << BITS, 1), np.float32), "intercept": np.zeros(1), "temperature": 1.0}
@@ -108,7 +118,7 @@ def fit(docs: DataFrame, per_class: int = 800, text_bytes: int = 4000) -> dict:
     rest = [i for i in np.flatnonzero(fold == 4) if raw[i]]
     temperature = 1.0
     if rest:
-        s = np.vstack([_logits(np.frombuffer(raw[i], np.uint8), np.array([0, len(raw[i])]), weights, intercept) for i in rest])
+        s = np.vstack([_logits(*code_points(np.frombuffer(raw[i], np.uint8), np.array([0, len(raw[i])]))[:2], weights, intercept) for i in rest])
         grid = np.geomspace(0.05, 20, 61)
         loss = [(np.log(np.exp((s - s.max(1, keepdims=True)) / t).sum(1)) - (s[np.arange(len(s)), at[rest]] - s.max(1)) / t).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
@@ -125,24 +135,28 @@ def _predict(batches, model: dict):
         row = 0
         while row < len(column):
             end = min(len(column), max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1))
-            part, own = data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+            part, own, letter = code_points(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
             s = _logits(part, own, weights, model["intercept"]) / model["temperature"]
             p = np.exp(s - s.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             best[row:end], score[row:end] = names[p.argmax(1)], p.max(1)
-            letters = np.concatenate([[0], np.cumsum(_LETTER[part])])
-            for i in np.flatnonzero(letters[own[1:]] == letters[own[:-1]]):  # no ASCII letter: is there another?
-                if not any(map(str.isalpha, part[own[i] : own[i + 1]].tobytes().decode("utf-8", "replace"))):
-                    best[row + i], score[row + i] = UNKNOWN, 1.0
+            letters = np.concatenate([[0], np.cumsum(letter)])
+            none = row + np.flatnonzero(letters[own[1:]] == letters[own[:-1]])
+            best[none], score[none] = UNKNOWN, 1.0
             row = end
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row; ``und`` with score 1 where the text is null or has no letter."""
+    """(doc_id, lang_pred, score) for each row, whatever its id: repeated rows are predicted each.
+
+    ``und`` with score 1 where the text is null, empty or has no letter.  Whole texts count, of any length; ties go to the
+    language whose name is first.  Other columns are not looked at.  An empty table gives none.
+    """
     return docs.select("doc_id", "text").mapInArrow(remote(f"{_HERE}:_predict", model=model), "doc_id long, lang_pred string, score double")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; see :func:`fit` and :func:`predict` for nulls, empty and repeated rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -144,8 +144,9 @@ def _sentences(w: Words) -> np.ndarray:
 
 
 def _letter_runs(w: Words, sentence: np.ndarray) -> list[tuple[int, bytes]]:
-    """(sentence, letters) of runs of four or more one-letter words."""
-    single = (w.end - w.start) == 1
+    """(sentence, letters) of runs of four or more one-letter words, letters of any script."""
+    lead = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80, dtype=np.int64)])
+    single = lead[w.end] - lead[w.start] == 1
     if len(single) < 4 or not single.any():
         return []
     keep = np.flatnonzero(single[3:] & single[2:-1] & single[1:-2] & single[:-3] & (sentence[3:] == sentence[:-3]))
@@ -154,9 +155,9 @@ def _letter_runs(w: Words, sentence: np.ndarray) -> list[tuple[int, bytes]]:
         if i < done:
             continue
         j = i
-        while j < len(single) and single[j] and sentence[j] == sentence[i] and j - i < 4 * STRETCH:
+        while j < len(single) and single[j] and sentence[j] == sentence[i]:
             j += 1
-        out.append((int(sentence[i]), w.data[w.start[i:j]].tobytes().lower()))
+        out.append((int(sentence[i]), b"".join(w.data[a:b].tobytes() for a, b in zip(w.start[i:j].tolist(), w.end[i:j].tolist(), strict=True)).lower()))
         done = j
     return out
 
@@ -375,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     with the best margins, three times over; all sentences of clean texts are clean.  Without both classes every score is
     the share of toxic labels (0 without labels).
     """
-    texts, y, fold, counts = sample(docs, labels, label, per_class, None)
+    texts, y, fold, counts = sample(docs, labels, label, per_class)
     n = sum(counts.values())
     base = counts.get(1, 0) / n if n else 0.0
     constant = {"landmarks": [], "weights": np.zeros(0), "rest": 0.0, "calibration": [0.0, 0.0, 0.0, 0.0, float(np.log((base + 1e-6) / (1 - base + 1e-6)))]}

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from strandspark.llm import archive, chat, contamination, jaccard, language, mixing, quality, rules, substrings, toxicity
 from strandspark.llm import labels as labels_module
 from strandspark.llm.text import chunks
@@ -236,12 +237,26 @@ def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
     got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
     assert np.mean([(got[i] >= 0.5) == bool(i % 2) for i in range(200)]) > 0.95
     monkeypatch.setattr(labels_module, "CLASS_BYTES", 300_000)
-    some, marks, _, counts = labels_module.sample(docs, labels, "toxic", text_bytes=None)
+    some, marks, _, counts = labels_module.sample(docs, labels, "toxic")
     assert set(some) <= set(long) and sum(counts.values()) > len(some)
     for k in (0, 1):
         assert 250_000 < sum(len(t) for t, m in zip(some, marks, strict=True) if m == k) <= 300_000
 
 
+def test_sample_is_bounded_when_ids_repeat(spark):
+    docs = table(spark, [f"text {i % 7}" for i in range(300)], [3] * 300).withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(3, 1)] * 50 + [(4, 0), (4, 1)], "doc_id long, toxic int")
+    texts, y, _, counts = labels_module.sample(docs, docs, "lang", 300)
+    assert len(set(texts)) == len(texts) == 7 and counts == {"en": 300}
+    texts, y, _, counts = labels_module.sample(docs, labels, "toxic", 2)
+    assert len(texts) == 6 and set(y) == {1} and counts == {1: 1} and texts == labels_module.sample(docs.repartition(7), labels, "toxic", 2)[0]
+
+
+def test_letter_runs_of_any_script():
+    runs = lambda t: toxicity._letter_runs(w := next(chunks(pa.array([t.encode()], pa.large_binary()), lower=True))[2], toxicity._sentences(w))
+    assert [x.decode() for _, x in runs("so b l ö d und " + "x " * 300)] == ["blöd", "x" * 300]
+
+
 def test_quality_learns(spark):
     texts, labels = labelled(spark)
     texts = [t if i % 2 else " ".join(x + "%%%" for x in t.split()) for i, t in enumerate(texts)]
@@ -264,6 +279,25 @@ def test_language_learns(spark):
     assert [got[i][0] for i in (900, 901, 902)] == ["und"] * 3 and got[903][0] == "bb"
 
 
+def test_language_features_are_character_grams():
+    texts = ["Ähre ÉTÉ", "日本語テキスト", "", "a\tb", "😀x", "Ж" * 5]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    points, own, letter = language.code_points(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for i, t in enumerate(texts):
+        assert "".join(map(chr, points[own[i] : own[i + 1]])) == t.lower().replace("\t", " ")
+        assert letter[own[i] : own[i + 1]].tolist() == [c.isalpha() for c in t]
+    a, b = (language.features(language.code_points(np.frombuffer(x.encode(), np.uint8), np.array([0]))[0], 3) for x in ("日本語", "本日語"))
+    assert len(a) == len(b) == 1 and a != b
+    rng = np.random.default_rng(0)
+    weights, intercept = rng.normal(size=(1 << language.BITS, 2)).astype(np.float32), np.zeros(2)
+    together = language._logits(points, own, weights, intercept)
+    for i, t in enumerate(texts):
+        grams = [language.features(points[own[i] : own[i + 1]], k) for k in language.ORDERS]
+        want = weights[np.concatenate(grams)].sum(0) / max(1, sum(map(len, grams)))
+        assert np.allclose(together[i], want, atol=1e-5)
+
+
 def test_rules_counts(spark, texts):
     texts = [*texts, "a b\na b\n\n\nc #|\na b", "# $ %" * 20]
     got = {r.doc_id: r for r in rules.judge(table(spark, texts)).collect()}
