@@ -34,7 +34,8 @@ _tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _LAST = (1 << 63) - 1
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, at least n each."""
     if len(_tables[0]) < n:
         with np.errstate(over="ignore"):
             for k, base in enumerate((_R, _INVERSE)):
@@ -60,7 +61,7 @@ class Stretches:
         g = grams(w.hash, seed)
         places = self.start + np.lib.stride_tricks.sliding_window_view(g, window - seed + 1)[self.start].argmin(axis=1)
         with np.errstate(over="ignore"):
-            power, inverse = _powers(n + 1)
+            power, inverse = powers(n + 1)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * power[:n], dtype=np.uint64)])
             span = lambda a, b: mix((total[b] - total[a]) * inverse[a])
             self.hash = span(self.start, self.start + window)

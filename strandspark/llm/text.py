@@ -6,6 +6,7 @@ one byte buffer, so the cost is a few numpy passes over the bytes and no Python
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,9 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BYTE[_SPACE] = 0
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
-#: As above, but every ASCII byte that is no letter or digit parts words.
+#: As above, but every ASCII byte that is no letter or digit parts words, and so do signs and spaces of Unicode below U+3040.
 _PARTS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+_SIGN = np.array([i > 127 and unicodedata.category(chr(i))[0] in "PSZ" for i in range(0x3040)])
 _BYTE_PLAIN = np.where(_PARTS, np.uint64(0), _BYTE_LOWER)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -39,6 +41,23 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
+def _plain_breaks(data: np.ndarray) -> np.ndarray:
+    """Bytes that part words where only letters and digits make them."""
+    out = _PARTS[data]
+    two = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+    two = two[two + 1 < len(data)]
+    if len(two):
+        two = two[_SIGN[((data[two] & 31).astype(np.int64) << 6) | (data[two + 1] & 63)]]
+        out[two] = out[two + 1] = True
+    three = np.flatnonzero((data >= 0xE0) & (data < 0xE4))
+    three = three[three + 2 < len(data)]
+    if len(three):
+        point = ((data[three] & 15).astype(np.int64) << 12) | ((data[three + 1] & 63).astype(np.int64) << 6) | (data[three + 2] & 63)
+        three = three[(point < len(_SIGN)) & _SIGN[np.minimum(point, len(_SIGN) - 1)]]
+        out[three] = out[three + 1] = out[three + 2] = True
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread a 64-bit value over all bits."""
     with np.errstate(over="ignore"):
@@ -56,7 +75,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, plain: bool = False) -> None:
         self.data, self.offsets = data, offsets
-        word = ~(_PARTS if plain else _SPACE)[data]
+        word = ~(_plain_breaks(data) if plain else _SPACE[data])
         edge = np.empty(len(data) + 1, dtype=bool)
         edge[0] = edge[-1] = True
         edge[1:-1] = ~word[:-1]
@@ -76,6 +95,8 @@ class Words:
             relative = np.arange(lead, len(data)) - np.repeat(self.start, gaps)
             with np.errstate(over="ignore"):
                 values = (_BYTE_PLAIN if plain else _BYTE_LOWER if lower else _BYTE)[data[lead:]] * _power_table(int(gaps.max()))[relative]
+                if plain:
+                    values[~word[lead:]] = 0
                 self.hash = mix(np.add.reduceat(values, self.start - lead))
         else:
             self.hash = np.empty(0, np.uint64)
@@ -87,7 +108,7 @@ class Words:
 def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False, plain: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, Words) over a column of strings; null counts as empty.
 
-    ``lower`` takes A-Z as a-z; ``plain`` does too, and lets every ASCII byte but letters and digits part words.
+    ``lower`` takes A-Z as a-z; ``plain`` does too, and lets everything but letters and digits part words.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)

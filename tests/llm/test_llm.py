@@ -152,14 +152,85 @@ def test_escape(s):
     assert "<|" not in chat.escape(s) and chat.unescape(chat.escape(s)) == s and chat.unescape_role(chat.escape_role(s)) == s
 
 
+def brute_tiles(a, b, least):
+    """The definition: mark the longest common run of unmarked words, the smallest places first, until none is left."""
+    free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    while True:
+        best = None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
+                    k += 1
+                if k >= least and (best is None or k > best[2]):
+                    best = (i, j, k)
+        if best is None:
+            return out
+        i, j, k = best
+        free_a[i : i + k], free_b[j : j + k] = [False] * k, [False] * k
+        out.append(best)
+
+
+def test_tiling_is_the_greedy_one():
+    rng = np.random.default_rng(7)
+    for trial in range(400):
+        kinds = 1 + trial % 5
+        a, b = (rng.integers(1, kinds + 1, rng.integers(0, 28)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+        least = 2 + trial % 3
+        assert contamination.tiles(a, b, least) == brute_tiles(a.tolist(), b.tolist(), least), (a, b)
+    assert contamination.tiles(np.full(800, 5, np.uint64), np.full(8000, 5, np.uint64)) == [(0, 0, 800)]
+
+
+def plain(t):
+    return re.findall(r"[^\W_]+", (t or "").lower())
+
+
+def brute_find(docs, items, coverage=0.5):
+    out = set()
+    for d, t in docs:
+        for i, x in items:
+            a, b = plain(x), plain(t)
+            n = sum(k for _, _, k in brute_tiles(a, b, contamination.LEAST)) if len(a) >= contamination.LEAST else 0
+            if n and n >= coverage * len(a):
+                out.add((d, i, len(a), n))
+    return out
+
+
+def test_contamination_is_that_of_brute_force(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(12)]
+    common = "of the same kind as before"
+    items = [(i, " ".join([*rng.choice(words, rng.integers(3, 24)), *([common] * (i % 2))])) for i in range(14)]
+    items += [(3, items[2][1]), (None, "a null id is kept as it is"), (40, None), (41, ""), (42, "too short now")]
+    docs = [(i, " ".join([*rng.choice(words, rng.integers(0, 40)), common])) for i in range(30)]
+    for k in range(12):
+        x = items[k][1].split()
+        cut = len(x) // 2
+        docs.append((100 + k, " — ".join([" ".join(x[cut:]).upper(), " ".join(x[:cut]), common])))
+    docs += [(200, "“A null” id… is kept, as it\u2014is"), (201, None), (202, ""), (203, docs[35][1]), (203, docs[36][1]), (None, docs[35][1])]
+    table = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, k int, words int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for coverage in (0.5, 0.8):
+        got = [(r.doc_id, r.item_id, r.test_words, r.covered_words) for r in contamination.find(table, bench, coverage).collect()]
+        want = brute_find(docs, items, coverage)
+        assert set(got) == want and len(want) > 5
+        assert len(got) == len(want)
+        kept = contamination.drop_contaminated(table, bench, coverage)
+        bad = {d for d, *_ in want} - {203}
+        assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} - {203} == {d for d, _ in docs} - bad - {203}
+
+
 def test_tiling_finds_moved_passages(spark):
     item = [f"q{i}" for i in range(20)]
-    docs = table(spark, [" ".join(["x", *item[10:], "y z", *item[:10]]), " ".join(item[:6]), None, "", "Q1 q2, q3! " + " ".join(item).upper()])
+    docs = table(spark, [" ".join(["x", *item[10:], "y z", *item[:10]]), " ".join(item[:6]), None, "", "Q1 q2, q3! " + " ".join(item).upper(), "pad " * 400_000 + " ".join(item)])
     bench = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "too short")], "item_id long, text string")
     got = {r.doc_id: r for r in contamination.find(docs, bench).collect()}
-    assert {i: (r.item_id, r.coverage, len(r.tiles)) for i, r in got.items()} == {0: (7, 1.0, 2), 4: (7, 1.0, 1)}
-    assert {r.doc_id for r in contamination.drop_contaminated(docs, bench, block_bytes=10).collect()} == {1, 2, 3}
-    assert contamination.find(docs.limit(0), bench).count() == 0
+    assert {i: (r.item_id, r.coverage, len(r.tiles)) for i, r in got.items()} == {0: (7, 1.0, 2), 4: (7, 1.0, 1), 5: (7, 1.0, 1)}
+    assert [(x.test_start, x.text_start, x.length) for x in got[0].tiles] == [(0, 13, 10), (10, 1, 10)] and got[5].tiles[0].text_start == 400_000
+    assert {r.doc_id for r in contamination.drop_contaminated(docs, bench).collect()} == {1, 2, 3}
+    for a, b in ((docs.limit(0), bench), (docs, bench.limit(0))):
+        assert contamination.find(a, b).count() == 0
+        assert contamination.drop_contaminated(a, b).count() == a.count()
 
 
 def test_kernel_is_the_sum_over_subsequences():
