@@ -231,15 +231,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "xa", "xb").mapInArrow(remote(f"{_HERE}:_similar", percent=percent), "a long, b long")
 
 
+def _vertices(texts: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) with the ids of ``several`` made different for different texts, and (vertex, doc_id) of the made ones.
+
+    One text keeps the id; the others get a hash of id and text, which stands in no order to the ids.
+    """
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    first = stash(texts.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(mark).alias("first")))
+    marked = texts.join(first, "doc_id", "left").withColumn("mark", mark)
+    made = F.col("first").isNotNull() & (F.col("mark") != F.col("first"))
+    vertex = F.xxhash64("doc_id", "mark")
+    named = marked.select(F.when(made, vertex).otherwise(F.col("doc_id")).alias("doc_id"), "text")
+    return named, stash(marked.filter(made).select(vertex.alias("vertex"), "doc_id").distinct())
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for each row of (doc_id, text).
 
     class_id: the smallest doc_id with the same set; component_id: the smallest that links reach.  Texts without words have
     no shingles and stand alone; shorter texts than ``words`` have one, their whole sequence.  Rows of one doc_id are one
-    document, of which the texts all link; a null doc_id is in no class and component_id is null.
+    document, of which the texts all link, whatever they say; a null doc_id is in no class and component_id is null.  Texts of
+    any length are compared whole; an empty table gives none; other columns are not looked at.
     """
     texts = docs.select("doc_id", "text")
-    own = stash(texts.mapInArrow(remote(f"{_HERE}:_classes", words=words), "doc_id long, n long, digest binary"))
+    sets_of = lambda rows: stash(rows.mapInArrow(remote(f"{_HERE}:_classes", words=words), "doc_id long, n long, digest binary"))
+    own, made = sets_of(texts), None
+    several = own.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y").select("doc_id")
+    if several.limit(1).count():
+        texts, made = _vertices(texts, several)
+        own = sets_of(texts)
     classes = own.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
     sizes = {r["n"]: r["k"] for r in own.filter(F.col("n").between(1, SMALL)).groupBy("n").agg(F.count("*").alias("k")).collect()}
     boundary = choose_boundary(sizes, percent)
@@ -283,7 +303,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     next_band = heads.select("shingle", F.col("head").alias("a"), F.col("band")).join(heads.select("shingle", F.col("head").alias("b"), (F.col("band") + 1).alias("band")), ["shingle", "band"]).select("a", "b")
     ordered = lambda e: e.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tried = stash(ordered(in_band.unionByName(next_band)))
-    edges = stash(_verified(tried, sets, percent).unionByName(light_edges))
+    edges = _verified(tried, sets, percent).unionByName(light_edges)
+    if made is not None:
+        edges = edges.unionByName(ordered(by_class(made.toDF("a", "b"), ["a", "b"])))
+    edges = stash(edges)
     groups = stash(components(edges))
 
     # what is left: members of different groups
@@ -298,16 +321,22 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     more = _verified(left, sets, percent)
     final = components(edges.unionByName(more))
     out = labelled.join(final.toDF("class_id", "_component"), "class_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_component", "class_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_component", "class_id").alias("component_id"))
+    if made is not None:
+        out = stash(out.join(made.toDF("doc_id", "_id"), "doc_id", "left").withColumn("doc_id", F.coalesce("_id", "doc_id")).drop("_id"))
+        for c in ("class_id", "component_id"):
+            out = out.join(out.groupBy(c).agg(F.min("doc_id").alias("_least")), c, "left").withColumn(c, F.col("_least")).drop("_least")
+    return out.select("doc_id", "n_shingles", "class_id", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest doc_id of each group, with all their columns."""
+    """The documents with the smallest doc_id of each group, with all their columns, of any names; rows without id stay."""
     later = link(docs, words, percent).filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    return docs.select(F.struct("*").alias("row"), "doc_id").join(later, "doc_id", "left_anti").select("row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents; see :func:`link` for nulls, empty and repeated rows."""
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85).select("doc_id", "n_shingles", "component_id", "class_id")
 
 

@@ -7,12 +7,14 @@ over a document that begins at cumulative token u of the source is trained at th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ship import stash
 from .text import WORD
 
 #: Piecewise linear weight schedules, one for each source in turn: fades out, stays level, comes in.
@@ -55,7 +57,7 @@ def targets(sizes: DataFrame, share: float, weights: Sequence[int], most: int) -
     )
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (3, 1, 2), most: int = 2, digits: int = 3, schedules=SCHEDULES) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (3, 1, 2), most: int = 2, digits: int | None = None, schedules=SCHEDULES, size: Column | None = None) -> DataFrame:
     """One row per document: its columns, and size, source_size, target, taken, position, passes.
 
     ``share`` of all words is dealt to the sources by ``weights`` (repeated along the sources by code point, null last); no
@@ -63,23 +65,30 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (3, 1, 2),
     passes over its documents; the last pass ends at the target, inside a document if need be, so that the source's taken
     words equal its rounded target.  ``passes`` holds (pass, position, words) for each pass that takes words;
     ``position`` is the first one's time, null if the document isn't taken.  Computed columns replace input columns of the
-    same name.  Null or empty texts have size 0 and are not taken; a null source is a source.  An empty table gives none.
+    same name; others may have any name.  Null or empty texts have size 0 and are not taken; a null source is a source; null
+    and repeated ids are documents of their own.  Ties in the order go to the smaller size, and rows that tie there too are
+    interchangeable.  An empty table gives none.  ``size`` is the number of words where that is known already.
 
-    Order within a source comes from sums over 16^``digits`` key ranges, so a source of any size is spread over tasks.
+    Order within a source comes from sums over 16^``digits`` key ranges (by default as many as leave about 100,000 documents
+    to a range, 4,096 to a million), so a source of any size is spread over tasks.
     """
-    docs = docs.drop(*NAMES)
+    if size is None:
+        size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    if digits is None:
+        digits = min(5, max(3, math.ceil(math.log(max(docs.count(), 1) / 100_000, 16))))
+    names = [c for c in docs.columns if c not in NAMES]
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    own = docs.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, digits))
-    ranges = own.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
-    goal = targets(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), share, weights, most)
-    ahead = ranges.withColumn("_before", F.sum("_words").over(W.partitionBy("source").orderBy("_range")) - F.col("_words"))
-    ahead = ahead.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source"))).select(F.col("a.source").alias("_source"), F.col("_range").alias("_r"), "_before", "source_size", "place", "target")
-    within = W.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = own.withColumn("_in", F.sum("size").over(within) - F.col("size")).join(ahead, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
+    own = docs.select(F.struct(*map(_quoted, names)).alias("row"), "doc_id", "source", size.cast("long").alias("size"), key.alias("key")).withColumn("range", F.substring("key", 1, digits))
+    ranges = own.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    goal = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), share, weights, most)
+    ahead = ranges.withColumn("before", F.sum("words").over(W.partitionBy("source").orderBy("range")) - F.col("words"))
+    ahead = ahead.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source"))).select(F.col("a.source").alias("of"), F.col("range").alias("in_range"), "before", "source_size", "place", "target")
+    within = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    placed = own.withColumn("inside", F.sum("size").over(within) - F.col("size")).join(ahead, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in_range")))
     goal_words = F.round("target").cast("long")
     passes = []
     for p in range(most):
-        start = F.col("_before") + F.col("_in") + F.col("source_size") * p
+        start = F.col("before") + F.col("inside") + F.col("source_size") * p
         u = start / F.greatest(F.col("target"), F.lit(1.0))
         at = F.when(F.col("place") % len(schedules) == 0, _inverse(u, schedules[0]))
         for k in range(1, len(schedules)):
@@ -90,21 +99,35 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (3, 1, 2),
         placed.withColumn("passes", F.filter(F.array(*passes), lambda x: x["words"] > 0))
         .withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda s, x: s + x["words"]))
         .withColumn("position", F.try_element_at("passes", F.lit(1))["position"])
-        .select(*docs.columns, *NAMES)
+        .select("row.*", *NAMES)
     )
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """One row for each pass over a document, range-sorted by training position (doc_id and pass break ties)."""
-    each = mixed.withColumn("_pass", F.explode("passes")).withColumn("pass", F.col("_pass.pass")).withColumn("position", F.col("_pass.position")).withColumn("words", F.col("_pass.words")).drop("_pass", "passes")
+    """One row for each pass over a document, range-sorted by training position (doc_id and pass break ties).
+
+    ``pass``, ``position`` and ``words`` of the pass replace columns of these names.
+    """
+    names = [c for c in mixed.columns if c not in ("passes", "pass", "position", "words")]
+    each = mixed.select(F.struct(*map(_quoted, names)).alias("row"), F.explode("passes").alias("at")).select("row.*", "at.pass", "at.position", "at.words")
     by = ("position", "doc_id", "pass")
     return (each.repartitionByRange(partitions, *by) if partitions else each.repartitionByRange(*by)).sortWithinPartitions(*by)
 
 
+def in_order(mixed: DataFrame) -> DataFrame:
+    """Documents range-sorted by their first position; those that aren't taken spread by doc_id."""
+    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    out = mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
-    return out.repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+    """The mix of all documents; see :func:`mix` for nulls, empty and repeated rows.  Texts are counted once and left behind."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    docs = stash(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", size.alias("words")))
+    return in_order(mix(docs, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position")))
 
 
 OP5_SQL = r"""

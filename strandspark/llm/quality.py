@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labels import PER_CLASS, class_weights, held_out, logistic, sample, sigmoid
-from .ship import remote
+from .ship import map_whole_rows, remote
 
 _HERE = "strandspark.llm.quality"
 #: Bytes compressed at once (the dictionary must still matter at a part's end), bytes of a dictionary, level.
@@ -83,7 +83,11 @@ def _scores(batches, model: dict):
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score) for each row: the probability of label 1.  Null and empty texts get the score of no difference."""
+    """(doc_id, score) for each row, repeated ones each: the probability of label 1.
+
+    Null and empty texts get the score of no difference.  Texts of any length are compressed whole; ids may be null; other
+    columns are not looked at.  An empty table gives none.
+    """
     return docs.select("doc_id", "text").mapInArrow(remote(f"{_HERE}:_scores", model=model), "doc_id long, score double")
 
 
@@ -96,11 +100,12 @@ def _keeps(batches, model: dict, threshold: float, text_at: int):
 
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns."""
-    return docs.mapInArrow(remote(f"{_HERE}:_keeps", model=model, threshold=threshold, text_at=docs.columns.index("text")), docs.schema)
+    """The rows whose score reaches the threshold, with all their columns, of any names; nulls and repeats as for :func:`score`."""
+    return map_whole_rows(docs, remote(f"{_HERE}:_keeps", model=model, threshold=threshold, text_at=docs.columns.index("text")))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; see :func:`fit` and :func:`score` for nulls, empty and repeated rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

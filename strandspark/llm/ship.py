@@ -34,6 +34,12 @@ def remote(target: str, **settings) -> Callable[[Iterable[pa.RecordBatch]], Iter
     return run
 
 
+def map_whole_rows(docs: DataFrame, mapper: Callable) -> DataFrame:
+    """``mapInArrow`` that keeps the columns, whatever their names are."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(mapper, plain.schema).toDF(*docs.columns)
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 

@@ -20,8 +20,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .ship import remote, stash
 from .text import Words, chunks, grams, mix
@@ -185,9 +186,14 @@ def _rewrite(batches, window: int, text_at: int, size_at: int | None):
         yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(n)]))
 
 
+def _known_id() -> Column:
+    """A null id stands after all others, at a place of its text's own, so that null ids are no group of their own."""
+    return F.coalesce("doc_id", F.lit(_LAST) - F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 40)))
+
+
 def _late(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, stretches, windows: lists of those that begin in a document with a smaller id."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
+    """id, stretches, windows: lists of those that begin in a document with a smaller id."""
+    texts = docs.select(_known_id().alias("doc_id"), "text")
     anchors = stash(texts.mapInArrow(remote(f"{_HERE}:_anchors", window=window), "doc_id long, anchor long, stretch long"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor", "least")
     seeds = stash(anchors.join(shared, "anchor"))
@@ -200,7 +206,7 @@ def _late(docs: DataFrame, window: int) -> DataFrame:
     late_windows = windows.join(earliest, "window").filter("doc_id > least").select("doc_id", "window")
     none = F.lit(None).cast("long")
     both = later.select("doc_id", "stretch", none.alias("window")).unionByName(late_windows.select("doc_id", none.alias("stretch"), "window"))
-    return both.groupBy("doc_id").agg(F.collect_set("stretch").alias("_stretches"), F.collect_set("window").alias("_windows"))
+    return both.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("stretch").alias("stretches"), F.collect_set("window").alias("windows"))
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -208,21 +214,28 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if it is in a window whose words also begin earlier: in a document with a smaller id, or earlier in the same
     one.  Windows are those of the input.  Null texts have no words; rows of one id are one document's parts, of which none
-    is earlier; a null id counts as the largest.  Windows are compared by 64-bit hashes.
+    is earlier; rows without id come after all others, in the order of a hash of their texts.  Texts of any length are
+    compared whole, windows by 64-bit hashes.  An empty table gives none; other columns are not looked at.
     """
-    both = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("_id")).join(_late(docs, window).withColumnRenamed("doc_id", "_id"), "_id", "left")
-    return both.select("doc_id", "text", "_stretches", "_windows").mapInArrow(remote(f"{_HERE}:_digests", window=window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    both = docs.select("doc_id", "text", _known_id().alias("id")).join(_late(docs, window), "id", "left")
+    return both.select("doc_id", "text", "stretches", "windows").mapInArrow(remote(f"{_HERE}:_digests", window=window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with repeated passages cut from their texts (n_chars follows); all rows and columns stay."""
+    """The documents with repeated passages cut from their texts (n_chars follows); all rows and columns stay, of any names.
+
+    What goes, and what nulls and repeated rows mean, is as for :func:`digests`.
+    """
     names = docs.columns
-    both = docs.withColumn("_id", F.coalesce("doc_id", F.lit(_LAST))).join(_late(docs, window).withColumnRenamed("doc_id", "_id"), "_id", "left").select(*names, "_stretches", "_windows")
+    parts = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(names)]
+    both = docs.select(*parts, _known_id().alias("id")).join(_late(docs, window), "id", "left").select(*[f"c{i}" for i in range(len(names))], "stretches", "windows")
     size_at = names.index("n_chars") if "n_chars" in names else None
-    return both.mapInArrow(remote(f"{_HERE}:_rewrite", window=window, text_at=names.index("text"), size_at=size_at), docs.schema)
+    schema = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema)])
+    return both.mapInArrow(remote(f"{_HERE}:_rewrite", window=window, text_at=names.index("text"), size_at=size_at), schema).toDF(*names)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document; see :func:`digests` for nulls, empty and repeated rows."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

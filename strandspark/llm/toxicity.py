@@ -441,11 +441,16 @@ def _scores(batches, model: dict):
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score) for each row: the probability that the text is toxic.  Null and empty texts have no similar word."""
+    """(doc_id, score) for each row, repeated ones each: the probability that the text is toxic.
+
+    Null and empty texts have no similar word.  Texts of any length are read whole; ids may be null; other columns are not
+    looked at.  An empty table gives none.
+    """
     return docs.select("doc_id", "text").mapInArrow(remote(f"{_HERE}:_scores", model=model), "doc_id long, score double")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; see :func:`fit` and :func:`score` for nulls, empty and repeated rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

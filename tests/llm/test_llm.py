@@ -72,6 +72,16 @@ def test_jaccard_join(spark, texts, k, percent):
     assert kept == set(group)
 
 
+def test_texts_of_one_id_link(spark, texts):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (8, c), (9, "a2 a3"), (9, None), (9, "a2 a3"), (4, "a2 a3"), (None, a), (2, c + " end"), (10, c), (10, "x y"), (12, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.link(docs).collect())
+    want = {5: 5, 6: 5, 7: 5, 8: 2, 9: 4, 4: 4, None: None, 2: 2, 10: 2, 12: 2}
+    assert got == Counter((i, want[i]) for i, _ in rows)
+    assert {r.doc_id for r in jaccard.keep_first(docs).collect()} == {5, 2, 4, None}
+
+
 def test_boundary_has_the_least_cost():
     assert jaccard.choose_boundary({}, 85) == 0
     assert jaccard.choose_boundary(dict.fromkeys(range(1, 33), 10), 85) in range(1, 33)
@@ -118,6 +128,35 @@ def test_mixing(spark, texts):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+CLASHES = ["_before", "_source", "_r", "place", "_key", "_range", "_in", "_stretches", "_windows", "_id", "row", "id", "key", "stretches", "windows", "k", "l", "n", "digest", "component_id", "class_id", "score", "pass", "words", "a.b", "c0"]
+
+
+def test_clashing_columns_pass_through(spark, texts):
+    docs = table(spark, texts)
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, texts[14])], "item_id long, text string")
+    made = {
+        "mix": mixing.mix(docs), "order": mixing.training_order(mixing.mix(docs)), "repeats": substrings.remove_repeats(docs), "first": jaccard.keep_first(docs),
+        "good": quality.keep_good(docs, quality.fit(docs, labels)), "clean": contamination.drop_contaminated(docs, bench),
+    }
+    for name, df in made.items():
+        own = [c for c in CLASHES if not (name == "order" and c in ("pass", "words"))]
+        rows = df.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in own), name
+        assert name in ("mix", "order") or df.schema == docs.schema or df.columns == docs.columns
+
+
+def test_null_ids(spark, texts):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = spark.createDataFrame([(5, f"x {passage}"), (None, f"y {passage}"), (None, f"y {passage}"), (None, None), (-3, "z " + " ".join(f"q{i}" for i in range(25)))], "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substrings.digests(docs).collect()]
+    assert Counter(got) == Counter([(5, 31, 0), (None, 31, 30), (None, 31, 30), (None, 0, 0), (-3, 26, 0)])
+    assert Counter(r.doc_id for r in mixing.mix(docs.withColumn("source", F.lit("s"))).collect()) == Counter([5, None, None, None, -3])
+    assert Counter(r.doc_id for r in jaccard.link(docs).collect()) == Counter([5, None, None, None, -3])
+
+
 def test_archive_round_trip(spark, tmp_path):
     big = "é<p>" * 400
     rows = [(1, "http://a/\r\nX: y", big), (5, None, big), (3, "u", "small"), (4, "u", "small"), (7, "u", None), (5, "v", big), (None, "n", big)]
