@@ -35,8 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with words taken and all passes (each its position and words), in order of the first position."""
-    mixed = mixing.mix(docs).filter("taken > 0")
-    return mixed.repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+    return mixing.in_order(mixing.mix(docs).filter("taken > 0"))
 
 
 STAGES = [
