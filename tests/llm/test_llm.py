@@ -454,6 +454,29 @@ def test_rules_judge_small_groups(spark):
     assert len(got) == len(rows) and {i for i, r in got.items() if not r.kept} == junk and all(r.distance is not None for r in got.values())
 
 
+def test_smallest_determinant_is_found(spark):
+    rng = np.random.default_rng(9)
+    groups = {}
+    for g in range(6):
+        good = rng.normal(size=(15, rules.SIZE)) @ rng.normal(size=(rules.SIZE, rules.SIZE))
+        groups[f"g{g}"] = np.vstack([good, rng.normal(6, 1, size=(4, rules.SIZE))])
+    groups["flat"] = np.column_stack([rng.normal(size=14), *[np.zeros(14)] * (rules.SIZE - 1)])
+    rows = [(g, x.tolist()) for g, xs in groups.items() for x in xs]
+    got = {r.grp: r for r in rules.estimate(spark.createDataFrame(rows, "grp string, x array<double>")).collect()}
+    assert set(got) == set(groups)
+    found = 0
+    for g, xs in groups.items():
+        size = int(np.ceil(rules.CORE * len(xs)))
+        dets = []
+        for core in itertools.combinations(range(len(xs)), size):
+            cov = np.cov(xs[list(core)].T, bias=True) / rules.consistency() + np.diag(np.square(rules.FLOORS))
+            dets.append(np.linalg.slogdet(cov)[1])
+        assert got[g].det >= min(dets) - 1e-9
+        found += got[g].det < min(dets) + 1e-6
+        assert got[g].det <= np.quantile(dets, 0.005)
+    assert found >= 4
+
+
 def test_chi_square():
     assert abs(rules.chi_square(0.95, 1) - 3.8415) < 1e-3 and abs(rules.chi_square(0.99, 5) - 15.0863) < 1e-3
 
