@@ -158,19 +158,36 @@ def test_null_ids(spark, texts):
 
 
 def test_archive_round_trip(spark, tmp_path):
+    import gzip
+
     big = "é<p>" * 400
-    rows = [(1, "http://a/\r\nX: y", big), (5, None, big), (3, "u", "small"), (4, "u", "small"), (7, "u", None), (5, "v", big), (None, "n", big)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    archive.write_archive(pages, str(tmp_path / "a"))
-    got = archive.read_index(spark, str(tmp_path / "a")).collect()
-    assert len(got) == len(rows)
-    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter([(1, "revisit", 5), (5, "response", None), (5, "response", None), (None, "revisit", 5), (3, "response", None), (4, "response", None), (7, "response", None)])
-    assert spark.read.parquet(str(tmp_path / "a" / "payloads")).count() == 3
-    records = {(r.page_id, r.url): r for r in archive.read_records(spark, str(tmp_path / "a")).collect()}
-    assert bytes(records[3, "u"].record).endswith(b"Content-Length: 5\r\n\r\nsmall\r\n\r\n")
-    archive.export_warc(spark, str(tmp_path / "a"), str(tmp_path / "w"), "none")
-    text = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
-    assert text.count(b"WARC/1.1\r\n") == len(rows) and text.endswith(b"\r\n\r\n")
+    tricky = "x\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\n\r\n"
+    rows = [(1, "http://a/\r\nX: y%0A", big), (5, None, big), (3, "http://b/%0A%25", "small"), (4, "u", "small"), (7, "u", None), (5, "v", big), (None, "n", big), (8, "w", tricky * 300), (9, "w", tricky), (10, "z", "a" * 1_500_000 + "\U0001f600"), (-2, "m", "end\r\n\r\n")]
+    pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string")
+    path = str(tmp_path / "a")
+    archive.write_archive(pages, path, date="2020-01-02T03:04:05Z")
+    got = archive.read_index(spark, path).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter(
+        [(1, "revisit", 5), (5, "response", None), (5, "response", None), (None, "revisit", 5), (3, "response", None), (4, "response", None), (7, "response", None), (8, "response", None), (9, "response", None), (10, "response", None), (-2, "response", None)]
+    )
+    raw = {(p, u): (h or "").encode() for p, u, h in rows}
+    assert Counter((r.page_id, r.url, r.payload_bytes, r.payload_digest) for r in got) == Counter((p, u, len(x), hashlib.sha1(x).hexdigest()) for (p, u), x in raw.items())
+    assert {r.date for r in got} == {"2020-01-02T03:04:05Z"}
+    assert spark.read.parquet(f"{path}/payloads").count() == 7
+    parsed = archive.parse_records(archive.read_records(spark, path)).filter("record_type = 'response'").collect()
+    assert Counter((r.page_id, r.url, bytes(r.content)) for r in parsed) == Counter((p, u, x) for (p, u), x in raw.items() if (p, u) not in ((1, rows[0][1]), (None, "n")))
+    assert archive.export_warc(spark, path, str(tmp_path / "w")) == len(rows)
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*.warc.gz")))
+    whole = gzip.decompress(data)
+    assert data.count(b"\x1f\x8b\x08\x00\x00\x00\x00\x00") == len(rows) and whole.count(b"Content-Length: 5\r\n\r\nsmall\r\n\r\n") == 2
+    assert sorted(bytes(r.record) for r in archive.read_records(spark, path).collect()) == sorted(gzip.decompress(b"\x1f\x8b\x08\x00\x00\x00\x00\x00" + x) for x in data.split(b"\x1f\x8b\x08\x00\x00\x00\x00\x00")[1:])
+    archive.write_archive(pages.limit(0), str(tmp_path / "none"))
+    assert archive.read_index(spark, str(tmp_path / "none")).count() == 0
+    spoilt = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.concat("payload", F.lit("x").cast("binary")))
+    spoilt.write.parquet(str(tmp_path / "spoilt/payloads"))
+    spark.read.parquet(f"{path}/headers").write.parquet(str(tmp_path / "spoilt/headers"))
+    with pytest.raises(Exception, match="does not match its digest"):
+        archive.read_index(spark, str(tmp_path / "spoilt")).collect()
 
 
 def test_chat_round_trip(spark):
