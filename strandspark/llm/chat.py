@@ -21,8 +21,8 @@ from .ship import remote, stash
 START, STOP = "<|im_start|>", "<|im_end|>"
 _HERE = "strandspark.llm.chat"
 _ESCAPED = re.compile(r"\\(.)", re.S)
-#: Hex digits that one turn adds to a node's path, and those of the second turn by which a tree's offsets are spread.
-LEVEL, SPREAD = 16, 4
+#: Hex digits that one turn adds to a node's path.  A path is as long as the list of ancestors that the output has anyway.
+LEVEL = 16
 
 
 def escape(text: str) -> str:
@@ -92,29 +92,33 @@ def build_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves) of a table of (conv_id, turn, role, text).
 
     nodes: tree, path, parent, depth, owner (the smallest conv_id through the node), offset, length, position, attention,
-    loss_start, loss_end (within the segment), segment.  leaves: conv_id, leaf (the path of its last node).
-    Turns are sorted by (turn, role, text), nulls first; null text and role are empty; repeated rows are turns of their own; rows without
-    conv_id form one conversation.  A path has ``LEVEL`` digits for each turn, so its order is the depth-first order.
-    Offsets count within a tree: by sums over ranges of the second turn's digest, so a first turn that very many
-    conversations share is spread over tasks.  An empty table gives empty results.
+    loss_start, loss_end (within the segment), segment; written in the order of emission, see :func:`depth_first`.  leaves:
+    conv_id, leaf (the path of its last node).
+    Turns are sorted by (turn, role, text), nulls first; null text and role are empty; repeated rows are turns of their own; rows
+    without conv_id form one conversation, whose owner is null.  Texts may be of any length and other columns are not looked at.  A path
+    has ``LEVEL`` digits for each turn, so its order is the depth-first order.  Nodes are dealt by ranges of paths; offsets
+    count within a tree, by sums over its ranges, so a tree that very many conversations share is spread over tasks.  An
+    empty table gives empty results.
     """
     turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     each = stash(turns.mapInArrow(remote(f"{_HERE}:_nodes"), _NODE))
-    own = each.select("path", F.coalesce("conv_id", F.lit(-(1 << 63))).alias("conv")).groupBy("path").agg(F.min("conv").alias("owner"))
-    first = each.withColumn("conv", F.coalesce("conv_id", F.lit(-(1 << 63))))
-    nodes = first.join(own, (first["path"] == own["path"]) & (first["conv"] == own["owner"]), "left_semi").withColumnRenamed("conv", "owner").drop("conv_id", "last")
-    nodes = nodes.withColumn("tree", F.substring("path", 1, LEVEL)).withColumn("_range", F.substring("path", LEVEL + 1, SPREAD))
-    ranges = nodes.groupBy("tree", "_range").agg(F.sum("length").alias("_sum"))
-    ranges = ranges.select("tree", "_range", (F.sum("_sum").over(W.partitionBy("tree").orderBy("_range")) - F.col("_sum")).alias("_before"))
-    inside = W.partitionBy("tree", "_range").orderBy("path").rowsBetween(W.unboundedPreceding, 0)
-    nodes = nodes.withColumn("_in", F.sum("length").over(inside) - F.col("length")).join(ranges, ["tree", "_range"]).withColumn("offset", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
+    # all of a node follows from its path but the owner
+    same = [c.split()[0] for c in _NODE.split(", ") if c.split()[0] not in ("conv_id", "path", "last")]
+    nodes = each.groupBy("path").agg(F.min("conv_id").alias("owner"), *[F.first(c).alias(c) for c in same]).withColumn("tree", F.substring("path", 1, LEVEL))
+    dealt = stash(nodes.repartitionByRange("path").withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("tree", "_part").agg(F.sum("length").alias("_sum"))
+    parts = parts.select("tree", "_part", (F.sum("_sum").over(W.partitionBy("tree").orderBy("_part")) - F.col("_sum")).alias("_before"))
+    inside = W.partitionBy("tree", "_part").orderBy("path").rowsBetween(W.unboundedPreceding, 0)
+    nodes = dealt.withColumn("_in", F.sum("length").over(inside) - F.col("length")).join(parts, ["tree", "_part"]).withColumn("offset", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
     nodes = stash(nodes)
     # a node's ancestors lie on its owner's path: one window over the owner's nodes gives all their intervals
-    through = each.select(F.coalesce("conv_id", F.lit(-(1 << 63))).alias("owner"), "depth", "path").join(nodes.select("path", F.struct(F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end")).alias("_at")), "path")
+    at = F.struct(F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"))
+    through = each.select(F.col("conv_id").alias("owner"), "depth", "path").join(nodes.select("path", at.alias("_at")), "path")
     above = W.partitionBy("owner").orderBy("depth").rowsBetween(W.unboundedPreceding, -1)
-    through = through.select("owner", "path", F.collect_list("_at").over(above).alias("attention"))
+    through = through.select(F.col("owner").alias("_owner"), F.col("path").alias("_path"), F.collect_list("_at").over(above).alias("attention"))
+    full = nodes.join(through, (F.col("path") == F.col("_path")) & F.col("owner").eqNullSafe(F.col("_owner"))).drop("_owner", "_path")
     leaves = each.filter("last").select("conv_id", F.col("path").alias("leaf"))
-    return stash(nodes.join(through, ["owner", "path"])), leaves
+    return stash(depth_first(full)), leaves
 
 
 def depth_first(nodes: DataFrame) -> DataFrame:
@@ -125,7 +129,7 @@ def depth_first(nodes: DataFrame) -> DataFrame:
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """conv_id, formatted, spans: each conversation put together from what its last node attends to.
 
-    ``spans`` are the (start, end) code points of ``formatted`` under the loss mask.
+    ``spans`` are the (start, end) code points of ``formatted`` under the loss mask.  A null conv_id is one conversation.
     """
     to = nodes.select(F.col("path").alias("leaf"), "tree", F.concat("attention", F.array(F.struct(F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end")))).alias("at"))
     wanted = leaves.join(to, "leaf").select("conv_id", "tree", F.explode("at").alias("at")).select("conv_id", "tree", F.col("at.start").alias("offset"))
@@ -152,7 +156,7 @@ def _digests(batches):
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted conversations say, read from the template again."""
+    """_DIGEST of what the formatted conversations say, read from the template again; an empty table gives none."""
     return formatted.mapInArrow(remote(f"{_HERE}:_digests"), _DIGEST)
 
 
@@ -163,6 +167,7 @@ def with_control_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from the emitted sequence; see :func:`build_tree` for nulls and repeated rows."""
     nodes, leaves = build_tree(with_control_strings(spark, sf_dir))
     return digests(read_back(nodes, leaves))
 

@@ -203,6 +203,34 @@ def test_chat_round_trip(spark):
             assert got[r.parent].offset < r.offset and (r.attention[-1].start, r.attention[-1].end) == (got[r.parent].offset, got[r.parent].offset + got[r.parent].length)
 
 
+def test_chat_emits_trees_depth_first(spark):
+    rng = np.random.default_rng(3)
+    least = -(1 << 63)
+    rows = [(c, t, ["system", "user", "assistant"][t % 3], f"t{rng.integers(0, 2)}" if t else "same") for c in [None, least, *range(60)] for t in range(rng.integers(1, 7))]
+    rows += [(70, 0, "user", "x" * 1_200_000 + "\U0001f600"), (71, 0, None, None), (71, 0, None, None), (71, None, "user", "first")]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, path int")
+    nodes, leaves = chat.build_tree(table)
+    trees = {}
+    for r in chat.depth_first(nodes).collect():
+        trees.setdefault(r.tree, []).append(r)
+    for own in trees.values():
+        end, stack = 0, []
+        for r in own:  # each tree's tokens once, without gaps, children right after their parents
+            assert r.offset == end
+            end += r.length
+            stack = stack[: r.depth]
+            assert (r.parent == stack[-1].path if stack else r.parent == "")
+            assert [(a.start, a.end) for a in r.attention] == [(p.offset, p.offset + p.length) for p in stack] and r.position == sum(p.length for p in stack)
+            stack.append(r)
+    assert sum(len(x) for x in trees.values()) == len({tuple((a, t) for c2, n, a, t in rows[: i + 1] if c2 == c) for i, (c, *_) in enumerate(rows) if c != 71}) + 3
+    got = {r.conv_id: chat.parse(r.formatted) for r in chat.read_back(nodes, leaves).collect()}
+    key = lambda r: tuple((x is not None, x) for x in r[1:])
+    for c in {r[0] for r in rows}:
+        assert got[c] == [(a or "", t or "") for _, _, a, t in sorted([r for r in rows if r[0] == c], key=key)]
+    empty = chat.build_tree(table.limit(0))
+    assert empty[0].count() == 0 and chat.digests(chat.read_back(*empty)).count() == 0
+
+
 @pytest.mark.parametrize("s", ["", "\\", "<|", "<\\|", "\\n<|im_end|>\n", "<<||>>\\\\"])
 def test_escape(s):
     assert "<|" not in chat.escape(s) and chat.unescape(chat.escape(s)) == s and chat.unescape_role(chat.escape_role(s)) == s
