@@ -162,6 +162,14 @@ def _letter_runs(w: Words, sentence: np.ndarray) -> list[tuple[int, bytes]]:
     return out
 
 
+@lru_cache(STRETCH)
+def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Places of the subsequences of a string of n bytes, their weights, and FLOOR times its least norm (a little less)."""
+    x, y, z = np.array(list(combinations(range(n), ORDER))).T
+    weight = (DECAY ** (z - x + 1)).astype(np.float32)
+    return x, y, z, weight, 0.999 * FLOOR * float(np.sqrt(np.square(weight).sum()))
+
+
 class Filter:
     """Tells words that no landmark can have a kernel value of FLOOR with; it passes every other one.
 
@@ -195,43 +203,91 @@ class Filter:
             group[0].append(piece)
             group[1].append(i)
         for n, (group, own) in by.items():
-            codes, own = self.code[np.frombuffer(b"".join(group), np.uint8).reshape(-1, n)].T, np.array(own)
-            x, y, z = np.array(list(combinations(range(n), ORDER))).T
-            weight = (DECAY ** (z - x + 1)).astype(np.float32)
-            least = 0.999 * FLOOR * float(np.sqrt(np.square(weight).sum()))
-            step = max(1, (1 << 19) // len(x))
-            for start in range(0, len(own), step):
-                part = np.ascontiguousarray(codes[:, start : start + step])
-                key = (part[x] * self.base + part[y]) * self.base + part[z]
-                left = np.flatnonzero(weight @ self.most[key] >= least)
-                if len(left):
-                    row = self.row[key[:, left]].T
-                    word, place = np.nonzero(row)
-                    values = self.each[row[word, place]] * weight[place][:, None]
-                    sums = np.add.reduceat(values, np.searchsorted(word, np.arange(len(left))))
-                    out[own[start + left[sums.max(1) >= least]]] = True
+            out[np.array(own)[self.rows(np.frombuffer(b"".join(group), np.uint8).reshape(-1, n))]] = True
+        return out
+
+    def rows(self, strings: np.ndarray) -> np.ndarray:
+        """Of strings of one length, a row of bytes each: which a landmark may be like."""
+        out, n = np.zeros(len(strings), bool), strings.shape[1]
+        x, y, z, weight, least = _triples(n)
+        step = max(1, (1 << 17) // len(x))
+        for start in range(0, len(strings), step):
+            part = np.ascontiguousarray(self.code[strings[start : start + step]].T)
+            key = (part[x] * self.base + part[y]) * self.base + part[z]
+            left = np.flatnonzero(np.einsum("i,ij->j", weight, self.most[key]) >= least)  # not by BLAS, whose threads spin
+            if len(left):
+                row = self.row[key[:, left]].T
+                word, place = np.nonzero(row)
+                values = self.each[row[word, place]] * weight[place][:, None]
+                sums = np.add.reduceat(values, np.searchsorted(word, np.arange(len(left))))
+                out[start + left[sums.max(1) >= least]] = True
         return out
 
 
+_ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
+_LETTERS = np.array([chr(i).isalnum() for i in range(0x1F000)])
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+
+
+def _letter_bytes(data: np.ndarray) -> np.ndarray:
+    """The bytes of UTF-8 text that belong to letters or digits of any script."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = _LETTERS[np.minimum(points, len(_LETTERS) - 1)]
+    for i in np.flatnonzero(points >= len(_LETTERS)).tolist():
+        letters[i] = chr(points[i]).isalnum()
+    return letters[np.cumsum((data & 0xC0) != 0x80, dtype=np.int32) - 1]
+
+
 class Scorer:
-    """Kernel values of sentences, with the words seen before kept."""
+    """Kernel values of sentences, with the words seen before kept: those with values, and the hashes of those without."""
 
     def __init__(self, landmarks: list[bytes]) -> None:
         self.landmarks, self.possible = landmarks, Filter(landmarks)
-        self.known: dict[int, tuple | None] = {}
-
-    def _learn(self, words: dict[int, bytes]) -> dict[int, tuple | None]:
-        out = dict.fromkeys(words)
-        keys = list(words)
-        keys = [k for at in range(0, len(keys), 4096) for k, possible in zip(keys[at : at + 4096], self.possible([words[x] for x in keys[at : at + 4096]]), strict=True) if possible]
-        values = similarities([words[k] for k in keys], self.landmarks)
-        for key, row in zip(keys, values, strict=True):
-            at = np.flatnonzero(row)
-            out[key] = (at, row[at]) if len(at) else None
-        if len(self.known) + len(out) > KEPT:
-            self.known.clear()
-        if len(out) <= KEPT:
+        self.known: dict[int, tuple] = {}
+        self.none = np.empty(0, np.uint64)
+
+    def _candidates(self, w: Words, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
+        """Numbers and bytes of the words (from start to end) that a landmark may be like; :func:`_forms` over all words at once."""
+        short = end - start <= STRETCH - 2
+        hit = np.zeros(len(start), bool)
+        kept = [None, _ALNUM[w.data] | (w.data >= 0x80)]
+        if (w.data >= 0x80).any():
+            kept += [_letter_bytes(w.data), _ALNUM[w.data]]
+        before = None
+        for mask in kept:  # each mask keeps a part of what the one before keeps, so forms of one size are one form
+            if mask is None:
+                bytes_, a, size = _SMALL[w.data], start, end - start
+            else:
+                place = np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
+                bytes_, a, size = _SMALL[w.data[mask]], place[start], place[end] - place[start]
+            use = short & (size >= ORDER) if before is None else short & (size >= ORDER) & (size != before)
+            before = size
+            for n in np.unique(size[use]).tolist():
+                own = np.flatnonzero(use & (size == n))
+                strings = np.full((len(own), n + 2), _EDGE[0], np.uint8)
+                strings[:, 1:-1] = bytes_[a[own][:, None] + np.arange(n)]
+                hit[own[self.possible.rows(strings)]] = True
+        long = np.flatnonzero(~short)
+        for own in np.array_split(long, len(long) // 4096 + 1) if len(long) else []:
+            hit[own[self.possible([w.data[start[i] : end[i]].tobytes().lower() for i in own.tolist()])]] = True
+        at = np.flatnonzero(hit).tolist()
+        return at, [w.data[start[i] : end[i]].tobytes().lower() for i in at]
+
+    def _values(self, words: list[bytes]) -> list[tuple | None]:
+        rows = similarities(words, self.landmarks)
+        return [(at, row[at]) if len(at := np.flatnonzero(row)) else None for row in rows]
+
+    def _learn(self, w: Words, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[int, tuple]:
+        """Values of these words, those without any left out; the words are kept if they are not too many."""
+        at, words = self._candidates(w, start, end)
+        out = {key: value for key, value in zip(keys[at].tolist(), self._values(words), strict=True) if value is not None}
+        if len(self.known) + len(self.none) + len(keys) > KEPT:
+            self.known, self.none = {}, np.empty(0, np.uint64)
+        if len(keys) <= KEPT:
             self.known.update(out)
+            new = keys[~np.isin(keys, np.array(list(out), np.uint64))]  # sorted, as the others are
+            self.none = np.insert(self.none, np.searchsorted(self.none, new), new)
         return out
 
     def sentences(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -239,28 +295,26 @@ class Scorer:
         sentence = _sentences(w)
         at = np.flatnonzero(w.end - w.start >= ORDER)
         keys = w.hash[at]
-        runs = _letter_runs(w, sentence)
-        here, fresh = {}, {}  # values of these texts' own words, whatever is kept or dropped meanwhile
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        for key, i in zip(unique.tolist(), at[first].tolist(), strict=True):
-            if key in self.known:
-                here[key] = self.known[key]
-            else:
-                fresh[key] = w.data[w.start[i] : w.end[i]].tobytes().lower()
-        for _, letters in runs:
-            if hash(letters) in self.known:
-                here[hash(letters)] = self.known[hash(letters)]
-            else:
-                fresh[hash(letters)] = letters
-        if fresh:
-            here.update(self._learn(fresh))
-        use = np.array([here[k] is not None for k in unique.tolist()], bool)[inverse]
-        number = np.concatenate([sentence[at[use]], np.array([s for s, x in runs if here[hash(x)] is not None], np.int64)]).astype(np.int64)
-        found = keys[use].tolist() + [hash(x) for _, x in runs if here[hash(x)] is not None]
+        unique, first = np.unique(keys, return_index=True)
+        # values of these texts' own words, whatever is kept or dropped meanwhile
+        here = {key: self.known[key] for key in unique.tolist() if key in self.known} if self.known else {}
+        place = np.minimum(np.searchsorted(self.none, unique), max(len(self.none) - 1, 0))
+        fresh = ~np.isin(unique, np.array(list(here), np.uint64))
+        if len(self.none):
+            fresh &= self.none[place] != unique
+        if fresh.any():
+            own = at[first[fresh]]
+            here.update(self._learn(w, unique[fresh], w.start[own], w.end[own]))
+        spelt = _letter_runs(w, sentence)
+        letters = sorted({x for _, x in spelt})
+        possible = [x for x, p in zip(letters, self.possible(letters), strict=True) if p] if letters else []
+        runs = {x: v for x, v in zip(possible, self._values(possible), strict=True) if v is not None}
+        use = np.isin(keys, np.array(list(here), np.uint64))
+        number = np.concatenate([sentence[at[use]], np.array([s for s, x in spelt if x in runs], np.int64)]).astype(np.int64)
+        found = [here[k] for k in keys[use].tolist()] + [runs[x] for _, x in spelt if x in runs]
         each = np.zeros((len(found), len(self.landmarks)))
-        for row, key in enumerate(found):
-            place, value = here[key]
-            each[row, place] = value
+        for row, (marks, value) in enumerate(found):
+            each[row, marks] = value
         numbers, row = np.unique(number, return_inverse=True)
         z = np.zeros((len(numbers), len(self.landmarks)))
         np.maximum.at(z, row, each)
