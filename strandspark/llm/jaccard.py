@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ship import remote, stash
+from .ship import release, remote, stash
 from .text import chunks, grams, mix
 
 _HERE = "strandspark.llm.jaccard"
@@ -204,6 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps, each a minimum by vertex and a join, until the edges stay the same.
     """
+    spark = edges.sparkSession
     now = stash(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
@@ -217,7 +218,9 @@ def components(edges: DataFrame) -> DataFrame:
         down = stash(large)
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = stash(small.filter("a != b").distinct())
+        after = stash(small.filter("a != b").distinct())
+        release(spark, now, down)
+        now = after
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import sys
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -21,19 +24,46 @@ def remote(target: str, **settings) -> Callable[[Iterable[pa.RecordBatch]], Iter
     The executor imports the function, so what its module keeps (tables, word scores) lives as long as the worker does.
     """
     root = _ROOT
+    _send_package()
 
     def run(batches):
         import importlib
         import sys
 
         if root not in sys.path:
-            sys.path.append(root)
+            sys.path.append(root)  # executors on the driver's machine; others find the package that was sent
         module, name = target.split(":")
         yield from getattr(importlib.import_module(module), name)(batches, **settings)
 
     return run
 
 
+def _send_package() -> None:
+    """Once a session, executors on other machines get this package as a zip file, by way of the shared folder."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext.master.split("[")[0] == "local" or getattr(spark.sparkContext, "_strandspark_sent", False):
+        return
+    packed = io.BytesIO()
+    top = os.path.join(_ROOT, "strandspark")
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(top)):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), _ROOT))
+    data = packed.getvalue()
+    path = f"{shared_folder(spark)}/strandspark/package-{hashlib.sha256(data).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.zip"
+    system, at = _hadoop(spark, path)
+    out = system.create(at)
+    out.write(bytearray(data))
+    out.close()
+    spark.sparkContext.addPyFile(path)
+    spark.sparkContext._strandspark_sent = True
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def map_whole_rows(docs: DataFrame, mapper: Callable) -> DataFrame:
     """``mapInArrow`` that keeps the columns, whatever their names are."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -56,9 +86,36 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_written: list[str] = []
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strandspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for path in [t.stashed_at for t in tables]:
+        system, at = _hadoop(spark, path)
+        system.delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def stashed() -> int:
+    """How many stashed tables there are; :func:`release_since` deletes those made after."""
+    return len(_written)
+
+
+def release_since(spark: SparkSession, mark: int) -> None:
+    """Delete the tables stashed since ``mark``: once results that read them are written, and no other is waiting."""
+    while len(_written) > mark:
+        system, at = _hadoop(spark, _written.pop())
+        system.delete(at, True)
