@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -43,10 +44,8 @@ def flag_letters(flag="flag") -> Column:
 
 def cigar_ops(cigar="cigar") -> Column:
     """array<struct<len:int, op:string>>; ``*`` gives an empty array."""
-    c = col(cigar)
-    n = F.regexp_extract_all(c, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1))
-    o = F.regexp_extract_all(c, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2))
-    return F.transform(F.arrays_zip(n.alias("n"), o.alias("o")), lambda x: F.struct(x["n"].cast("int").alias("len"), x["o"].alias("op")))
+    parts = F.regexp_extract_all(col(cigar), F.lit(r"\d+[MIDNSHP=X]"), F.lit(0))
+    return F.transform(parts, lambda x: F.struct(F.substring(x, F.lit(1), F.length(x) - 1).cast("int").alias("len"), F.right(x, F.lit(1)).alias("op")))
 
 
 def format_cigar(ops: Column) -> Column:
@@ -114,6 +113,16 @@ def unclip_cigar(ops: Column | None = None) -> Column:
     return format_cigar(F.filter(ops, lambda x: ~x["op"].isin("S", "H", "P")))
 
 
+def reclip_cigar(inner: Column, ops: Column | None = None) -> Column:
+    """CIGAR text of the operations ``inner`` between the S, H and P operations that ``ops`` begins and ends with."""
+    ops = cigar_ops() if ops is None else ops
+    clip = lambda x: x["op"].isin("S", "H", "P")
+    lead = F.aggregate(ops, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, x: F.struct((s["n"] + (s["go"] & clip(x)).cast("int")).alias("n"), (s["go"] & clip(x)).alias("go")), lambda s: s["n"])
+    tail = F.aggregate(F.reverse(ops), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, x: F.struct((s["n"] + (s["go"] & clip(x)).cast("int")).alias("n"), (s["go"] & clip(x)).alias("go")), lambda s: s["n"])
+    none = lead >= F.size(ops)
+    return format_cigar(F.when(none, inner).otherwise(F.concat(F.slice(ops, F.lit(1), lead), inner, F.when(tail > 0, F.slice(ops, F.size(ops) - tail + 1, tail)).otherwise(F.slice(ops, F.lit(1), F.lit(0))))))
+
+
 # regions and lengths --------------------------------------------------------------------------------------------------
 
 
@@ -176,6 +185,25 @@ def phred_probability(q) -> Column:
     return 1 - F.pow(F.lit(10.0), -col(q) / 10)
 
 
+def log_factorial(n) -> Column:
+    """ln n!, by Stirling's series beyond a table of small numbers; within 1e-10 of the sum of logarithms."""
+    x = col(n).cast("double") + 1
+    small = F.element_at(F.array(*[F.lit(math.lgamma(k + 1)) for k in range(16)]), F.least(col(n).cast("int"), F.lit(15)) + 1)
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+    return F.when(col(n) < 16, small).otherwise(series)
+
+
+def log_multinomial(*counts) -> Column:
+    """ln of (sum of the counts)! over the product of their factorials."""
+    total = col(counts[0])
+    for c in counts[1:]:
+        total = total + col(c)
+    out = log_factorial(total)
+    for c in counts:
+        out = out - log_factorial(c)
+    return out
+
+
 def mean_base_quality(qual="qual") -> Column:
     n = F.length(col(qual))
     return F.aggregate(quality_scores(qual), F.lit(0.0), lambda s, q: s + phred_probability(q)) / n
@@ -281,12 +309,23 @@ def allele_kind(allele) -> Column:
     return F.when(a.isin("", "-"), "null").when(a == ".", "no_call").when(a.rlike(r"^<.*>$") | a.contains("[") | a.contains("]"), "symbolic").otherwise("bases")
 
 
+def _bases(allele: Column) -> Column:
+    return F.when(allele.isin("-", ""), 0).otherwise(F.length(allele))
+
+
 def variant_type(ref, alt) -> Column:
+    """NO_VARIATION, SYMBOLIC, INDEL, SNP or MNP of one alternate allele."""
     r, a = col(ref), col(alt)
-    n, m = F.when(r == "-", 0).otherwise(F.length(r)), F.when(a == "-", 0).otherwise(F.length(a))
+    n, m = _bases(r), _bases(a)
     return F.when(a == ".", "NO_VARIATION").when(allele_kind(a) == "symbolic", "SYMBOLIC").when(n != m, "INDEL").when(n == 1, "SNP").otherwise("MNP")
 
 
+def variant_types(ref, alts) -> Column:
+    """The type that all alternate alleles (an array) have, MIXED if they differ, NO_VARIATION without any."""
+    kinds = F.array_distinct(F.transform(col(alts), lambda a: variant_type(ref, a)))
+    return F.when(F.size(kinds) == 0, "NO_VARIATION").when(F.size(kinds) == 1, kinds[0]).otherwise("MIXED")
+
+
 def simple_indel(ref, alt) -> Column:
     """insertion, deletion or complex, for alleles that share their first base; null if no indel."""
     r, a = col(ref), col(alt)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import columns as C
+from . import ranges
 
 
 def flag_counters() -> dict[str, Column]:
@@ -37,12 +38,19 @@ def insert_sizes(reads: DataFrame) -> DataFrame:
     return reads.filter(use).agg(F.count("*").alias("pairs"), F.round(F.avg(F.abs("insert_size")), 4).alias("mean"), F.median(F.abs("insert_size")).alias("median"))
 
 
-def out_of_order(reads: DataFrame, order: Sequence[str], block: Column) -> DataFrame:
-    """For each block of the input order, placed reads that stand before a read they should follow."""
-    placed = reads.filter((F.col("ref_id") != -1) & (F.col("pos") != -1)).withColumn("block", block)
-    w = W.partitionBy("block").orderBy(*order)
-    bad = (F.lag("ref_id").over(w) > F.col("ref_id")) | ((F.lag("ref_id").over(w) == F.col("ref_id")) & (F.lag("pos").over(w) > F.col("pos")))
-    return placed.withColumn("bad", F.coalesce(bad, F.lit(False))).groupBy("block").agg(F.count_if("bad").alias("breaks"), (F.count_if("bad") == 0).alias("is_sorted"))
+def out_of_order(reads: DataFrame, order: Sequence[str], block: Column, stretch: Column) -> DataFrame:
+    """For each block of the input order, placed reads that stand before a read they should follow.
+
+    ``stretch`` doesn't fall along the order: reads are compared within a stretch, and the stretches by their ends.
+    """
+    placed = reads.filter((F.col("ref_id") != -1) & (F.col("pos") != -1)).select(block.alias("block"), stretch.alias("stretch"), "ref_id", "pos", *[c for c in order if c not in ("ref_id", "pos")])
+    falls = lambda before, after: F.coalesce(before > after, F.lit(False))
+    place = F.struct("ref_id", "pos")
+    w = W.partitionBy("block", "stretch").orderBy(*order)
+    inside = placed.select("block", "stretch", place.alias("at"), F.struct(*order).alias("key"), falls(F.lag(place).over(w), place).alias("bad"))
+    parts = inside.groupBy("block", "stretch").agg(F.count_if("bad").alias("bad"), F.min_by("at", "key").alias("first"), F.max_by("at", "key").alias("last"))
+    joint = falls(F.lag("last").over(W.partitionBy("block").orderBy("stretch")), F.col("first")).cast("long")
+    return parts.select("block", (F.col("bad") + joint).alias("bad")).groupBy("block").agg(F.sum("bad").alias("breaks"), (F.sum("bad") == 0).alias("is_sorted"))
 
 
 def coverage_bins(reads: DataFrame, size: int, strict: bool = False) -> DataFrame:
@@ -57,8 +65,11 @@ def coverage_bins(reads: DataFrame, size: int, strict: bool = False) -> DataFram
     return each.groupBy("ref_id", "bin").agg(F.sum(bases).cast("long").alias("coverage"))
 
 
-def zero_filled(bins: DataFrame, sequences: DataFrame, size: int) -> DataFrame:
-    every = sequences.select("ref_id", "ref_name", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("length") / size) - 1).cast("int"))).alias("bin"))
+def zero_filled(bins: DataFrame, sequences: DataFrame, size: int, chunk: int = 1 << 16) -> DataFrame:
+    """Every bin of every sequence, made ``chunk`` bins at a time."""
+    last = (F.ceil(F.col("length") / size) - 1).cast("int")
+    chunks = sequences.select("ref_id", "ref_name", last.alias("last")).filter("last >= 0").select("ref_id", "ref_name", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(chunk))).alias("from"))
+    every = chunks.select("ref_id", "ref_name", F.explode(F.sequence("from", F.least(F.col("last"), F.col("from") + chunk - 1))).alias("bin"))
     return every.join(bins, ["ref_id", "bin"], "left").select("ref_name", (F.col("bin") * size + 1).alias("position"), F.coalesce("coverage", F.lit(0).cast("long")).alias("coverage"))
 
 
@@ -92,11 +103,26 @@ def compare(a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:
     return {"added": b.exceptAll(a), "removed": a.exceptAll(b), "common": a.intersectAll(b)}
 
 
+def compare_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row of how many rows b adds, lacks and shares, by one grouping."""
+    both = a.select(*COMPARED, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(*COMPARED, F.lit(0).alias("x"), F.lit(1).alias("y"))).groupBy(*COMPARED).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.agg(n(F.greatest(F.col("y") - F.col("x"), F.lit(0))).alias("added"), n(F.greatest(F.col("x") - F.col("y"), F.lit(0))).alias("removed"), n(F.least("x", "y")).alias("common"))
+
+
+def same_dictionary(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether both dictionaries (ref_id, ref_name, length) are the same."""
+    columns = ["ref_id", "ref_name", "length"]
+    x, y = a.select(*columns), b.select(*columns)
+    return x.exceptAll(y).unionByName(y.exceptAll(x)).agg((F.count("*") == 0).alias("same"))
+
+
 def compare_regions(a: DataFrame, b: DataFrame, regions: DataFrame) -> DataFrame:
     """added and removed in each region (closed, ref_id, start, stop), by one grouped count instead of a set operation each."""
     both = a.select(*COMPARED, F.lit(1).alias("d")).unionByName(b.select(*COMPARED, F.lit(-1).alias("d")))
     diff = both.groupBy(*COMPARED).agg(F.sum("d").alias("d")).filter("d != 0")
-    inside = diff.join(regions, (diff["ref_id"] == regions["ref_id"]) & diff["pos"].between(regions["start"], regions["stop"])).select(regions["ref_id"], "start", "stop", "d")
+    at = (F.col("pos"), F.col("pos"))
+    inside = ranges.range_join(diff, regions.withColumn("interval_id", F.lit(0)), span=at).select("ref_id", "start", "stop", "d")
     return inside.groupBy("ref_id", "start", "stop").agg(F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("added"), F.sum(F.greatest(F.col("d"), F.lit(0))).alias("removed"))
 
 

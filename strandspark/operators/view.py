@@ -69,11 +69,29 @@ def toggle_pairs(reads: DataFrame, key: Sequence[str], order: Sequence[str]) ->
 
 def fastq_split(reads: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(pairs, orphans).  The later read's strand decides which one is /1; the /2 one is turned to the other strand."""
-    t = toggle_pairs(reads, ["name"], order)
+    w = W.partitionBy("name").orderBy(*order)
     one = F.struct("flag", "seq", "qual")
-    g = t.groupBy("name", "pair").agg(F.max(F.when(F.col("mate") == 0, one)).alias("a"), F.max(F.when(F.col("mate") == 1, one)).alias("b"))
+    first = reads.select("name", one.alias("a"), F.lead(one).over(w).alias("b"), ((F.row_number().over(w) - 1) % 2).alias("mate")).filter("mate = 0")
     swap = C.has("reverse", F.col("b.flag"))
-    first = lambda f: F.when(swap, F.col(f"a.{f}")).otherwise(F.col(f"b.{f}"))
-    second = lambda f: F.when(swap, F.col(f"b.{f}")).otherwise(F.col(f"a.{f}"))
-    pairs = g.filter(F.col("b").isNotNull()).select("name", first("seq").alias("seq1"), first("qual").alias("qual1"), C.reverse_complement(second("seq")).alias("seq2"), F.reverse(second("qual")).alias("qual2"))
-    return pairs, g.filter(F.col("b").isNull()).select("name", F.col("a.seq").alias("seq"), F.col("a.qual").alias("qual"))
+    pick = lambda f, x, y: F.when(swap, F.col(f"{x}.{f}")).otherwise(F.col(f"{y}.{f}"))
+    pairs = first.filter("b is not null").select("name", pick("seq", "a", "b").alias("seq1"), pick("qual", "a", "b").alias("qual1"), C.reverse_complement(pick("seq", "b", "a")).alias("seq2"), F.reverse(pick("qual", "b", "a")).alias("qual2"))
+    return pairs, first.filter("b is null").select("name", F.col("a.seq").alias("seq"), F.col("a.qual").alias("qual"))
+
+
+def ranked(rows: DataFrame, group: Sequence[str], stretch: Column, order: Sequence, name: str = "rank") -> DataFrame:
+    """Adds each row's number (from 1) in ``order`` within its group.
+
+    ``stretch`` doesn't fall along the order.  Rows are sorted within a stretch of a group, and the counts of the stretches
+    before are added: a group of any size is spread over tasks, and only one row a stretch is summed in one place.
+    """
+    marked = rows.withColumn("_stretch", stretch)
+    counts = marked.groupBy(*group, "_stretch").agg(F.count("*").alias("_n"))
+    before = (F.sum("_n").over((W.partitionBy(*group) if group else W.partitionBy(F.lit(0))).orderBy("_stretch")) - F.col("_n")).alias("_before")
+    key = [*group, "_stretch"]
+    ahead = counts.select(*[F.col(k).alias(f"_of_{k}") for k in key], before)
+    same = None
+    for k in key:
+        equal = F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        same = equal if same is None else same & equal
+    here = marked.withColumn("_row", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
+    return here.join(ahead, same).withColumn(name, (F.col("_before") + F.col("_row")).cast("long")).drop("_row", "_before", "_stretch", *[f"_of_{k}" for k in key])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import columns as C
 from ..operators import dedup, ranges, stats, view
@@ -78,7 +77,7 @@ def _(r, spark, d):
  WINDOW w AS (PARTITION BY rg ORDER BY score, name, {order}))
  SELECT block, count(*) FILTER (pr > ref_id OR (pr = ref_id AND pp > pos)) AS breaks, count(*) FILTER (pr > ref_id OR (pr = ref_id AND pp > pos)) = 0 AS is_sorted FROM p GROUP BY block""")
 def _(r, spark, d):
-    return stats.out_of_order(r, ["score", "name", *ORDER], F.col("rg"))
+    return stats.out_of_order(r, ["score", "name", *[c for c in ORDER if c not in ("score", "name")]], F.col("rg"), F.floor(F.col("score") / 1000))
 
 
 # view -----------------------------------------------------------------------------------------------------------------
@@ -178,20 +177,25 @@ _truth("q_coverage_verify_strict", "abs(CAST(split_part(n, '_', 2) AS INT) - pos
 
 # compare --------------------------------------------------------------------------------------------------------------
 
-_A, _B = "l_partkey % 7 <> 0", "l_partkey % 5 <> 0"
+# the other file: the same reads, of which some lie elsewhere or are aligned otherwise
+_MOVED = "CAST(pos + CASE WHEN l_partkey % 5 = 0 THEN 25 WHEN l_suppkey % 7 = 0 THEN -25 ELSE 0 END AS INT)"
+_CHANGED = "CASE WHEN l_linenumber % 4 = 0 AND l_suppkey % 3 = 0 THEN concat(CAST(read_len AS VARCHAR(10)), '=') ELSE cigar END"
+_A, _B = "pos, cigar", f"{_MOVED} AS pos, {_CHANGED} AS cigar"
 _KEY = "ref_id, pos, cigar"
-_SIDE = lambda where: f"SELECT {_KEY} FROM {{reads}} WHERE {where} AND ref_id >= 0 AND pos >= 0"
+_SIDE = lambda columns: f"SELECT * FROM (SELECT ref_id, {columns} FROM {{reads}}) WHERE ref_id >= 0 AND pos >= 0"
+
+
+def _other(r):
+    return r.withColumns({"pos": F.expr(_MOVED), "cigar": F.expr(_CHANGED)})
 
 
 def _sides(r):
-    return stats.compared(r.filter(_A)), stats.compared(r.filter(_B))
+    return stats.compared(r), stats.compared(_other(r))
 
 
 @query("q_compare_counts", f"SELECT (SELECT count(*) FROM ({_SIDE(_B)} EXCEPT ALL {_SIDE(_A)})) AS added, (SELECT count(*) FROM ({_SIDE(_A)} EXCEPT ALL {_SIDE(_B)})) AS removed, (SELECT count(*) FROM ({_SIDE(_A)} INTERSECT ALL {_SIDE(_B)})) AS common")
 def _(r, spark, d):
-    a, b = _sides(r)
-    both = a.select("*", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select("*", F.lit(0).alias("x"), F.lit(1).alias("y"))).groupBy(*stats.COMPARED).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    return both.agg(F.sum(F.greatest(F.col("y") - F.col("x"), F.lit(0))).alias("added"), F.sum(F.greatest(F.col("x") - F.col("y"), F.lit(0))).alias("removed"), F.sum(F.least("x", "y")).alias("common"))
+    return stats.compare_counts(*_sides(r))
 
 
 for _kind, _sql in (("added", f"{_SIDE(_B)} EXCEPT ALL {_SIDE(_A)}"), ("removed", f"{_SIDE(_A)} EXCEPT ALL {_SIDE(_B)}"), ("common", f"{_SIDE(_A)} INTERSECT ALL {_SIDE(_B)}")):
@@ -201,38 +205,51 @@ for _kind, _sql in (("added", f"{_SIDE(_B)} EXCEPT ALL {_SIDE(_A)}"), ("removed"
         return stats.compare(*_sides(r))[kind]
 
 
-@query("q_compare_regions", f"""WITH x AS (SELECT {_KEY}, count(*) FILTER ({_A}) - count(*) FILTER ({_B}) AS d FROM {{reads}} WHERE ref_id >= 0 GROUP BY {_KEY})
+@query("q_compare_regions", f"""WITH x AS (SELECT {_KEY}, sum(d) AS d FROM (SELECT *, 1 AS d FROM ({_SIDE(_A)}) UNION ALL SELECT *, -1 AS d FROM ({_SIDE(_B)})) GROUP BY {_KEY})
  SELECT i.ref_id, i.start, i.stop, CAST(sum(greatest(-d, 0)) AS BIGINT) AS added, CAST(sum(greatest(d, 0)) AS BIGINT) AS removed
  FROM x JOIN {{intervals}} i ON x.ref_id = i.ref_id AND x.pos BETWEEN i.start AND i.stop WHERE d <> 0 GROUP BY 1, 2, 3""")
 def _(r, spark, d):
     return stats.compare_regions(*_sides(r), derived.intervals(spark, d))
 
 
-@query("q_dictionary_equal", "SELECT true AS same")
+def _dictionary(more):
+    return f"(SELECT ref_id, concat('chr', CAST(ref_id + 1 AS VARCHAR)) AS ref_name, CAST(max(pos) - max(pos) + {more} AS INT) AS length FROM {{reads}} WHERE ref_id >= 0 GROUP BY ref_id)"
+
+
+_DIFFERENT = lambda more: f"(SELECT count(*) = 0 FROM ((SELECT * FROM {{seqs}} EXCEPT ALL SELECT * FROM {_dictionary(more)}) UNION ALL (SELECT * FROM {_dictionary(more)} EXCEPT ALL SELECT * FROM {{seqs}})))"
+
+
+@query("q_dictionary_equal", f"SELECT {_DIFFERENT('1100')} AS same, {_DIFFERENT('1100 + ref_id % 2')} AS same_but_for_lengths")
 def _(r, spark, d):
-    a, b = derived.sequences(spark), derived.sequences(spark)
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg((F.count("*") == 0).alias("same"))
+    made = lambda n: r.filter("ref_id >= 0").select("ref_id").distinct().select("ref_id", F.concat(F.lit("chr"), (F.col("ref_id") + 1).cast("string")).alias("ref_name"), n.cast("int").alias("length"))
+    own = derived.sequences(spark)
+    a, b = (stats.same_dictionary(own, made(n)) for n in (F.lit(1100), F.col("ref_id") % 2 + 1100))
+    return a.crossJoin(b.withColumnRenamed("same", "same_but_for_lengths"))  # one row each
 
 
 # sort, merge, split ---------------------------------------------------------------------------------------------------
 
 
+def _ranks(ranked):
+    return ranked.select(*_LINE.split(", "), "score", F.col("rank").cast("int").alias("rank"))
+
+
+
 @query("q_sort_pos_rank", f"SELECT {_LINE}, score, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY pos, flag & 16, name, flag, score, l_linenumber, l_partkey, l_suppkey) AS INT) AS rank FROM {{reads}}")
 def _(r, spark, d):
-    w = W.partitionBy("ref_id").orderBy(*view.position_order(["score", "l_linenumber", "l_partkey", "l_suppkey"]))
-    return r.select(*_LINE.split(", "), "score", F.row_number().over(w).alias("rank"))
+    order = view.position_order(["score", "l_linenumber", "l_partkey", "l_suppkey"])
+    return _ranks(view.ranked(r, ["ref_id"], F.floor(F.col("pos") / 100), order))
 
 
 @query("q_sort_name_rank", f"SELECT {_LINE}, score, CAST(row_number() OVER (PARTITION BY substr(name, 1, 3) ORDER BY name, {_O}) AS INT) AS rank FROM {{reads}}")
 def _(r, spark, d):
-    w = W.partitionBy(F.substring("name", 1, 3)).orderBy("name", *ORDER)
-    return r.select(*_LINE.split(", "), "score", F.row_number().over(w).alias("rank"))
+    return _ranks(view.ranked(r.withColumn("part", F.substring("name", 1, 3)), ["part"], F.substring("name", 1, 5), ["name", *[c for c in ORDER if c != "name"]]))
 
 
 @query("q_sort_tag_rank", f"SELECT {_LINE}, score, CAST(row_number() OVER (PARTITION BY rg ORDER BY CASE WHEN score % 3 > 0 THEN score % 100 END NULLS LAST, {_O}) AS INT) AS rank FROM {{reads}}")
 def _(r, spark, d):
-    w = W.partitionBy("rg").orderBy(F.when(F.col("score") % 3 > 0, F.col("score") % 100).asc_nulls_last(), *ORDER)
-    return r.select(*_LINE.split(", "), "score", F.row_number().over(w).alias("rank"))
+    tag = F.when(F.col("score") % 3 > 0, F.col("score") % 100)
+    return _ranks(view.ranked(r, ["rg"], F.coalesce(tag, F.lit(1 << 62)), [tag.asc_nulls_last(), *ORDER]))
 
 
 @query("q_sorted_head", "SELECT name, flag, ref_id, pos FROM {reads} ORDER BY ref_id = -1, ref_id, pos, flag & 16, name, flag, score, l_linenumber, l_partkey, l_suppkey LIMIT 200")
@@ -240,9 +257,9 @@ def _(r, spark, d):
     return view.sort_reads(r, rest=["score", "l_linenumber", "l_partkey", "l_suppkey"]).limit(200).select("name", "flag", "ref_id", "pos")
 
 
-@query("q_merge_union", "SELECT ref_id, pos, count(*) AS reads FROM (SELECT * FROM {reads} WHERE l_partkey % 2 = 0 UNION ALL SELECT * FROM {reads} WHERE l_partkey % 3 = 0) GROUP BY ref_id, pos")
+@query("q_merge_union", f"SELECT ref_id, pos, count(*) AS reads FROM (SELECT ref_id, pos FROM {{reads}} UNION ALL SELECT ref_id, {_MOVED} AS pos FROM {{reads}}) GROUP BY ref_id, pos")
 def _(r, spark, d):
-    return view.merge(r.filter("l_partkey % 2 = 0"), r.filter("l_partkey % 3 = 0")).groupBy("ref_id", "pos").agg(F.count("*").alias("reads"))
+    return view.merge(r, _other(r)).groupBy("ref_id", "pos").agg(F.count("*").alias("reads"))
 
 
 @query("q_split_chain", "SELECT CAST(CASE WHEN ref_id < 0 THEN 0 ELSE ref_id % 4 END AS INT) AS chain, count(*) AS reads, CAST(sum(score) AS BIGINT) AS score FROM {reads} GROUP BY 1")
@@ -264,11 +281,13 @@ def _(r, spark, d):
 
 
 _TNAME = _TOGGLE.replace("{k}", "name")
+_BY_NAME = "(PARTITION BY name ORDER BY {order})"
 
 
-@query("q_fastq_pairs", f"""WITH t AS ({_TNAME}) SELECT a.name, CASE WHEN b.flag & 16 <> 0 THEN a.seq ELSE b.seq END AS seq1, CASE WHEN b.flag & 16 <> 0 THEN a.qual ELSE b.qual END AS qual1,
- reverse(translate(CASE WHEN b.flag & 16 <> 0 THEN b.seq ELSE a.seq END, 'ACGTacgt', 'TGCAtgca')) AS seq2, reverse(CASE WHEN b.flag & 16 <> 0 THEN b.qual ELSE a.qual END) AS qual2
- FROM t a JOIN t b ON a.name = b.name AND a.pair = b.pair AND a.mate = 0 AND b.mate = 1""")
+@query("q_fastq_pairs", f"""WITH t AS (SELECT name, flag, seq, qual, row_number() OVER {_BY_NAME} AS n, lead(flag) OVER {_BY_NAME} AS f2, lead(seq) OVER {_BY_NAME} AS s2, lead(qual) OVER {_BY_NAME} AS q2 FROM {{reads}})
+ SELECT name, CASE WHEN f2 & 16 <> 0 THEN seq ELSE s2 END AS seq1, CASE WHEN f2 & 16 <> 0 THEN qual ELSE q2 END AS qual1,
+ reverse(translate(CASE WHEN f2 & 16 <> 0 THEN s2 ELSE seq END, 'ACGTacgt', 'TGCAtgca')) AS seq2, reverse(CASE WHEN f2 & 16 <> 0 THEN q2 ELSE qual END) AS qual2
+ FROM t WHERE n % 2 = 1 AND f2 IS NOT NULL""")
 def _(r, spark, d):
     return view.fastq_split(r, ORDER)[0]
 
@@ -358,13 +377,18 @@ def _(r, spark, d):
     return x.select("a", "b", "rev", C.bisulfite_equal("a", "b", "rev").alias("equal"))
 
 
-@query("q_tag_ops", f"""SELECT {_LINE}, score, rg AS rg_value, 'Z' AS rg_type, true AS has_nm, CAST(mapq % 5 AS VARCHAR) AS nm, CAST(mapq % 5 AS VARCHAR) AS nm_after_add, '99' AS nm_after_edit, false AS has_rg_after_remove, CAST(1 AS INT) AS left_over FROM {{reads}}""")
+_TAG = "CASE WHEN l_partkey % 3 > 0 THEN CAST(mapq % 5 AS VARCHAR(3)) END"
+
+
+@query("q_tag_ops", f"""SELECT {_LINE}, score, rg_value, CASE WHEN rg_value IS NOT NULL THEN 'Z' END AS rg_type, nm IS NOT NULL AS has_nm, nm, coalesce(nm, '7') AS nm_after_add, '99' AS nm_after_edit, CASE WHEN nm IS NULL THEN 'i' ELSE 'C' END AS nm_type_after_add,
+ false AS has_rg_after_remove, CAST(CASE WHEN nm IS NULL THEN 0 ELSE 1 END AS INT) AS left_over FROM (SELECT {_LINE}, score, CASE WHEN l_suppkey % 4 > 0 THEN rg END AS rg_value, {_TAG} AS nm FROM {{reads}})""")
 def _(r, spark, d):
-    tags = F.create_map(F.lit("RG"), F.struct(F.lit("Z").alias("type"), F.col("rg").alias("value")), F.lit("NM"), F.struct(F.lit("i").alias("type"), (F.col("mapq") % 5).cast("string").alias("value")))
-    x = r.withColumn("tags", tags)
+    entry = lambda k, t, v: F.struct(F.lit(k).alias("key"), F.struct(F.lit(t).alias("type"), v.alias("value")).alias("value"))
+    listed = F.array(entry("RG", "Z", F.when(F.col("l_suppkey") % 4 > 0, F.col("rg"))), entry("NM", "C", F.expr(_TAG)))
+    x = r.withColumn("tags", F.map_from_entries(F.filter(listed, lambda e: e["value"]["value"].isNotNull())))
     return x.select(
         *_LINE.split(", "), "score", C.tag("RG").alias("rg_value"), C.tag_type("RG").alias("rg_type"), C.has_tag("NM").alias("has_nm"), C.tag("NM").alias("nm"), C.tag("NM", C.add_tag("NM", "i", F.lit(7))).alias("nm_after_add"),
-        C.tag("NM", C.edit_tag("NM", "i", F.lit(99))).alias("nm_after_edit"), C.has_tag("RG", C.remove_tag("RG")).alias("has_rg_after_remove"), F.size(C.remove_tag("RG")).alias("left_over"),
+        C.tag("NM", C.edit_tag("NM", "i", F.lit(99))).alias("nm_after_edit"), C.tag_type("NM", C.add_tag("NM", "i", F.lit(7))).alias("nm_type_after_add"), C.has_tag("RG", C.remove_tag("RG")).alias("has_rg_after_remove"), F.size(C.remove_tag("RG")).alias("left_over"),
     )
 
 
@@ -400,10 +424,8 @@ _ENDS = f"""r AS MATERIALIZED (SELECT *, {_IDX} AS idx FROM {{reads}}),
 
 
 def _indexed(r):
-    """The derived table has no row number: one that follows ORDER, from ranks within ranges of the leading column."""
-    per = r.groupBy("ref_id", "pos").agg(F.count("*").alias("n"))
-    before = per.select("ref_id", "pos", (F.sum("n").over(W.orderBy("ref_id", "pos")) - F.col("n")).alias("before"))
-    return r.withColumn("rn", F.row_number().over(W.partitionBy("ref_id", "pos").orderBy(*ORDER))).join(before, ["ref_id", "pos"]).withColumn("idx", (F.col("before") + F.col("rn")).cast("long")).drop("before", "rn")
+    """The derived table has no row number: one that follows ORDER."""
+    return view.ranked(r, [], F.struct("ref_id", F.floor(F.col("pos") / 100)), ORDER, "idx")
 
 
 def _groups(spark):
@@ -440,7 +462,7 @@ def _(r, spark, d):
 
 @query("q_mergesort_dedup", f"WITH {_ENDS} SELECT r.idx, r.name, r.pos, {_MARKED} AS flag FROM r LEFT JOIN dup d ON r.idx = d.idx WHERE mapq >= 10")
 def _(r, spark, d):
-    marked = dedup.mark_duplicates(_indexed(view.merge(r.filter("l_partkey % 2 = 0"), r.filter("l_partkey % 2 = 1"))), _groups(spark))
+    marked = dedup.mark_duplicates(_indexed(view.merge(r.filter(C.has("reverse")), r.filter(~C.has("reverse")))), _groups(spark))
     return view.sort_reads(view.filter_reads(marked, mapq=10), rest=["idx"]).select("idx", "name", "pos", "flag")
 
 
@@ -448,14 +470,19 @@ def _(r, spark, d):
 
 
 @query("q_mate_fix", f"""WITH t AS (SELECT *, (row_number() OVER (PARTITION BY rg, name ORDER BY {{order}}) - 1) // 2 AS pair, (row_number() OVER (PARTITION BY rg, name ORDER BY {{order}}) - 1) % 2 AS mate, {_N('MDN=X')} AS span FROM {{reads}} WHERE flag & 256 = 0),
- j AS (SELECT s.rg, s.name, s.pair, s.mate, s.flag AS sf, o.flag AS f, s.ref_id AS sr, s.pos AS sp, o.ref_id AS r, o.pos AS p, o.mapq AS mate_mapq, s.flag & 4 <> 0 AS su, o.flag & 4 <> 0 AS ou,
-   CASE WHEN s.flag & 16 <> 0 THEN s.pos + s.span - 1 ELSE s.pos END AS sfive, CASE WHEN o.flag & 16 <> 0 THEN o.pos + o.span - 1 ELSE o.pos END AS ofive FROM t s JOIN t o ON s.rg = o.rg AND s.name = o.name AND s.pair = o.pair AND s.mate <> o.mate)
- SELECT rg, name, CAST(pair AS INT) AS pair, CASE mate WHEN 0 THEN 'a' ELSE 'b' END AS side, CAST(CASE WHEN su AND NOT ou THEN r ELSE sr END AS INT) AS ref_id, CAST(CASE WHEN su AND NOT ou THEN p ELSE sp END AS INT) AS pos,
-  CAST(sf - (sf & 40) + CASE WHEN ou THEN 8 ELSE 0 END + CASE WHEN f & 16 <> 0 THEN 32 ELSE 0 END AS INT) AS flag,
-  CAST(CASE WHEN su AND ou THEN -1 WHEN ou THEN sr ELSE r END AS INT) AS mate_ref_id, CAST(CASE WHEN su AND ou THEN -1 WHEN ou THEN sp ELSE p END AS INT) AS mate_pos, mate_mapq,
-  CAST(CASE WHEN su OR ou OR sr <> r THEN 0 ELSE ofive - sfive END AS INT) AS insert_size FROM j""")
+ j AS (SELECT s.*, o.flag AS f, o.ref_id AS r, o.pos AS p, o.mapq AS q, s.flag & 4 <> 0 AS su, o.flag & 4 <> 0 AS ou,
+   CASE WHEN s.flag & 16 <> 0 THEN s.pos + s.span - 1 ELSE s.pos END AS sfive, CASE WHEN o.flag & 16 <> 0 THEN o.pos + o.span - 1 ELSE o.pos END AS ofive
+   FROM t s LEFT JOIN t o ON s.rg = o.rg AND s.name = o.name AND s.pair = o.pair AND s.mate <> o.mate)
+ SELECT rg, name, score, l_linenumber, l_partkey, l_suppkey, CAST(CASE WHEN p IS NULL THEN ref_id WHEN su AND ou THEN -1 WHEN su THEN r ELSE ref_id END AS INT) AS ref_id, CAST(CASE WHEN p IS NULL THEN pos WHEN su AND ou THEN -1 WHEN su THEN p ELSE pos END AS INT) AS pos,
+  CAST(CASE WHEN p IS NULL THEN flag ELSE flag - (flag & 40) + CASE WHEN ou THEN 8 ELSE 0 END + CASE WHEN f & 16 <> 0 THEN 32 ELSE 0 END END AS INT) AS flag,
+  CAST(CASE WHEN p IS NULL OR (su AND ou) THEN -1 WHEN ou THEN ref_id ELSE r END AS INT) AS mate_ref_id, CAST(CASE WHEN p IS NULL OR (su AND ou) THEN -1 WHEN ou THEN pos ELSE p END AS INT) AS mate_pos,
+  CASE WHEN p IS NOT NULL AND NOT su AND NOT ou THEN CAST(q AS VARCHAR) WHEN p IS NOT NULL AND su AND ou THEN NULL ELSE 'old' END AS mq,
+  CAST(CASE WHEN p IS NULL THEN insert_size WHEN su OR ou OR ref_id <> r THEN 0 ELSE ofive - sfive END AS BIGINT) AS insert_size FROM j
+ UNION ALL SELECT rg, name, score, l_linenumber, l_partkey, l_suppkey, ref_id, pos, flag, -1, -1, 'old', insert_size FROM {{reads}} WHERE flag & 256 <> 0""")
 def _(r, spark, d):
-    return ranges.fix_mates(r, ["rg", "name"], ORDER)
+    old = F.create_map(F.lit("MQ"), F.struct(F.lit("Z").alias("type"), F.lit("old").alias("value")))
+    fixed = ranges.fix_mates(r.withColumn("tags", old), ["rg", "name"], ORDER)
+    return fixed.select("rg", "name", "score", "l_linenumber", "l_partkey", "l_suppkey", "ref_id", "pos", "flag", "mate_ref_id", "mate_pos", C.tag("MQ").alias("mq"), "insert_size")
 
 
 # ranges ---------------------------------------------------------------------------------------------------------------
@@ -469,7 +496,7 @@ def _(r, spark, d):
     return x.agg(F.count_if(ranges.realign_eligible()).alias("eligible"), F.count("*").alias("reads"))
 
 
-_READ_END = f"greatest(pos + read_len + {_N('D')} - {_N('IS')} - 1, pos)"
+_READ_END = f"CASE WHEN flag & 4 <> 0 THEN pos ELSE greatest(pos + read_len + {_N('D')} - {_N('ISH')} - 1, pos) END"
 _OVER = f"{{reads}} r JOIN {{intervals}} i ON r.ref_id = i.ref_id AND r.pos <= i.stop AND {_READ_END} >= i.start"
 
 
@@ -488,12 +515,12 @@ def _(r, spark, d):
     return ranges.range_join(r, ranges.with_interval_ids(derived.intervals(spark, d)), 512).groupBy("ref_id", "start", "stop").agg(F.count("*").alias("reads"), F.sum("score").alias("score"))
 
 
-_ALLELES = "SELECT concat('chr', CAST(ref_id + 1 AS VARCHAR(3)), ':', CAST(pos AS VARCHAR(9))) AS region, CAST(mapq % 4 + 8 AS INT) AS allele_len, CAST(read_len AS DOUBLE) AS quality, flag & 16 <> 0 AS reverse FROM {reads} WHERE ref_id >= 0"
-_HIST = f"SELECT region, allele_len, count(*) AS reads, round(avg(quality), 4) AS mean_quality, count(*) FILTER (reverse) AS reverse_reads FROM ({_ALLELES}) GROUP BY 1, 2"
+_ALLELES = "SELECT CAST(l_suppkey % 9 AS DOUBLE) AS flank, concat('chr', CAST(ref_id + 1 AS VARCHAR(3)), ':', CAST(pos AS VARCHAR(9))) AS region, CAST(mapq % 4 + 8 AS INT) AS allele_len, round(CAST(list_avg(list_transform(string_split(qual, ''), lambda c: 1 - pow(10.0::DOUBLE, -(ord(c) - 33) / 10.0::DOUBLE))) AS DOUBLE), 6) AS quality, flag & 16 <> 0 AS reverse FROM {reads} WHERE ref_id >= 0"
+_HIST = f"SELECT region, allele_len, count(*) AS reads, round(avg(quality), 4) AS mean_quality, round(avg(flank), 4) AS mean_flank, count(*) FILTER (reverse) AS reverse_reads FROM ({_ALLELES}) GROUP BY 1, 2"
 
 
 def _alleles(r):
-    return r.filter("ref_id >= 0").select(F.concat(F.lit("chr"), (F.col("ref_id") + 1).cast("string"), F.lit(":"), F.col("pos").cast("string")).alias("region"), (F.col("mapq") % 4 + 8).alias("allele_len"), F.col("read_len").cast("double").alias("quality"), C.has("reverse").alias("reverse"))
+    return r.filter("ref_id >= 0").select(F.concat(F.lit("chr"), (F.col("ref_id") + 1).cast("string"), F.lit(":"), F.col("pos").cast("string")).alias("region"), (F.col("mapq") % 4 + 8).alias("allele_len"), F.round(C.mean_base_quality(), 6).alias("quality"), (F.col("l_suppkey") % 9).cast("double").alias("flank"), C.has("reverse").alias("reverse"))
 
 
 @query("q_allele_hist", _HIST)
@@ -510,7 +537,7 @@ def _(r, spark, d):
     return ranges.calls(ranges.allele_histogram(_alleles(r))).drop("call")
 
 
-@query("q_call_rule", f"SELECT region, CASE WHEN alleles > 9 OR reads <= 1 THEN 'NA' WHEN concordance >= 0.99 THEN CAST(majority AS VARCHAR) ELSE 'posterior' END AS call FROM ({_CONC})")
+@query("q_call_rule", f"SELECT region, CASE WHEN alleles > 9 OR reads <= 1 THEN 'NA' WHEN alleles = 1 OR 100 * (most - 1) >= 99 * (reads - 1) THEN CAST(majority AS VARCHAR) END AS call FROM ({_CONC})")
 def _(r, spark, d):
     return ranges.calls(ranges.allele_histogram(_alleles(r))).select("region", "call")
 

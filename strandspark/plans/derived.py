@@ -57,3 +57,20 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INTERVALS_SQL = "(SELECT DISTINCT CAST(p_partkey % 5 AS INT) AS ref_id, CAST((p_partkey % 20) * 50 AS INT) AS start, CAST((p_partkey % 20) * 50 + 30 AS INT) AS stop FROM part)"
+
+
+#: Bases of the derived reference: one row of (ref_id, start, bases) for each sequence, as Spark and DuckDB say it.
+_BLOCK = "md5(concat('ref', CAST(ref_id AS VARCHAR(3)), '-', CAST(k AS VARCHAR(3))))"
+_TO_BASES = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
+
+
+def reference(spark: SparkSession) -> DataFrame:
+    """(ref_id, start, bases) of the derived reference; the sequences are shorter than a chunk."""
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(34)), lambda k: F.md5(F.concat(F.lit("ref"), F.col("ref_id").cast("string"), F.lit("-"), k.cast("string")).cast("binary")))
+    text = F.translate(F.array_join(blocks, ""), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return sequences(spark).select("ref_id", F.lit(0).alias("start"), F.substring(text, F.lit(1), F.col("length")).alias("bases"))
+
+
+REFERENCE_SQL = (
+    "(SELECT ref_id, substr(translate(string_agg(" + _BLOCK + ", '' ORDER BY k), " + _TO_BASES + "), 1, 1100) AS ref FROM (SELECT unnest(range(0, 5)) AS ref_id), (SELECT unnest(range(0, 35)) AS k) GROUP BY ref_id)"
+)
