@@ -78,13 +78,21 @@ def mean_coverage(bins: DataFrame, sequences: DataFrame) -> DataFrame:
     return sequences.join(total, "ref_id", "left").select("ref_name", F.round(F.coalesce("bases", F.lit(0)) / F.col("length"), 6).alias("mean_coverage"))
 
 
-def mapping_truth(reads: DataFrame, sequences: DataFrame, strict: bool = False) -> DataFrame:
-    """Reads named chr_n1_n2_... against where they are mapped, within five bases; ``strict`` looks at n1 alone."""
+def _truth(strict: bool) -> Column:
     part = F.split("name", "_")
     near = lambda k: F.coalesce(F.abs(F.get(part, F.lit(k)).try_cast("int") - F.col("pos")) <= 5, F.lit(False))
-    right = (F.get(part, F.lit(0)) == F.col("ref_name")) & (near(1) if strict else near(1) | near(2))
+    return (F.get(part, F.lit(0)) == F.col("ref_name")) & (near(1) if strict else near(1) | near(2))
+
+
+def mapping_truth(reads: DataFrame, sequences: DataFrame, strict: bool = False) -> DataFrame:
+    """Reads named chr_n1_n2_... against where they are mapped, within five bases; ``strict`` looks at n1 alone."""
     known = reads.filter((F.col("ref_id") != -1) & (F.col("pos") != -1)).join(sequences, "ref_id")
-    return known.groupBy("ref_name").agg(F.count("*").alias("reads"), F.count_if(right).alias("correct"))
+    return known.groupBy("ref_name").agg(F.count("*").alias("reads"), F.count_if(_truth(strict)).alias("correct"))
+
+
+def correctly_mapped(reads: DataFrame, sequences: DataFrame, strict: bool = False) -> DataFrame:
+    """The reads that :func:`mapping_truth` counts as correct."""
+    return reads.join(sequences.select("ref_id", "ref_name"), "ref_id").filter(_truth(strict)).select(*reads.columns)
 
 
 COMPARED = ["ref_id", "pos", "cigar"]
