@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import dedup, ranges, stats, view
+from ..operators import dedup, measures, ranges, realign, repeats, reports, stats, view
+from ..sources import sam
+from ..sources.header import Header
 from . import derived
-from .derived import INTERVALS_SQL, ORDER, SQL
+from .derived import INTERVALS_SQL, ORDER, REFERENCE_SQL, SQL
 
 QUERIES, ORACLE = {}, {}
 _O = ", ".join(ORDER)
@@ -21,7 +23,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(derived.reads(spark, sf_dir), spark, sf_dir)
         if sql:
-            ORACLE[name] = sql.replace("{reads}", SQL).replace("{intervals}", INTERVALS_SQL).replace("{seqs}", _SEQS).replace("{order}", _O)
+            ORACLE[name] = sql.replace("{reads}", SQL).replace("{intervals}", INTERVALS_SQL).replace("{seqs}", _SEQS).replace("{reference}", REFERENCE_SQL).replace("{order}", _O)
         return f
 
     return add
@@ -594,3 +596,148 @@ def _(r, spark, d):
 @query("q_simple_indel", f"SELECT ref, alt, CASE WHEN length(ref) = length(alt) THEN NULL WHEN length(ref) = 1 AND starts_with(alt, ref) THEN 'insertion' WHEN length(alt) = 1 AND starts_with(ref, alt) THEN 'deletion' ELSE 'complex' END AS kind FROM ({_AL})")
 def _(r, spark, d):
     return _allele_pairs(r).select("ref", "alt", C.simple_indel("ref", "alt").alias("kind"))
+
+
+_KIND_SQL = "CASE WHEN {x} = '.' THEN 'NO_VARIATION' WHEN {x} LIKE '<%>' THEN 'SYMBOLIC' WHEN length(ref) <> length({x}) THEN 'INDEL' WHEN length(ref) = 1 THEN 'SNP' ELSE 'MNP' END"
+_AL_TWO = f"SELECT ref, alt AS a, concat(alt, substr(ref, 1, 1)) AS b FROM ({_AL})"
+
+
+@query("q_variant_types", f"""SELECT ref, a, b, CASE WHEN t = u THEN t ELSE 'MIXED' END AS type FROM (SELECT ref, a, b, {_KIND_SQL.replace('{x}', 'a')} AS t, {_KIND_SQL.replace('{x}', 'b')} AS u FROM ({_AL_TWO}))""")
+def _(r, spark, d):
+    x = _allele_pairs(r).select("ref", F.col("alt").alias("a"), F.concat("alt", F.substring("ref", 1, 1)).alias("b"))
+    return x.select("ref", "a", "b", C.variant_types("ref", F.array("a", "b")).alias("type"))
+
+
+# numbers --------------------------------------------------------------------------------------------------------------
+
+
+@query("q_log_multinomial", "SELECT mapq, read_len, round(lgamma(mapq + read_len + 4) - lgamma(mapq + 1) - lgamma(read_len + 1) - lgamma(4), 6) AS ways, round(lgamma(read_len + 1), 6) AS log_factorial FROM (SELECT DISTINCT mapq, read_len FROM {reads})")
+def _(r, spark, d):
+    x = r.select("mapq", "read_len").distinct()
+    return x.select("mapq", "read_len", F.round(C.log_multinomial("mapq", "read_len", F.lit(3)), 6).alias("ways"), F.round(C.log_factorial("read_len"), 6).alias("log_factorial"))
+
+
+@query("q_reclip_cigar", """SELECT DISTINCT cigar, CASE WHEN regexp_full_match(cigar, '(\\d+[SHP])*') THEN '5M1D7M' ELSE concat(regexp_extract(cigar, '^(\\d+[SHP])*'), '5M1D7M', regexp_extract(cigar, '(\\d+[SHP])*$')) END AS clipped FROM {reads}""")
+def _(r, spark, d):
+    inner = C.cigar_ops(F.lit("5M1D7M"))
+    return r.select("cigar").distinct().select("cigar", C.reclip_cigar(inner).alias("clipped"))
+
+
+# reads against the reference ------------------------------------------------------------------------------------------
+
+_FREE = "CASE l_linenumber % 4 WHEN 1 THEN substr({c}, 4) WHEN 3 THEN substr({c}, 1, read_len - 4) ELSE {c} END"
+_MET = f"""(SELECT r.*, g.ref, {_FREE.replace('{c}', 'seq')} AS b, {_FREE.replace('{c}', 'qual')} AS q FROM {{reads}} r JOIN {{reference}} g USING (ref_id))"""
+_KEYS = [*_LINE.split(", "), "score", "pos", "cigar"]
+_WRONG = "CASE WHEN {at} + k >= 1100 THEN 99 WHEN substr(b, k + 1, 1) = 'N' OR substr(b, k + 1, 1) = substr(ref, {at} + k + 1, 1) THEN 0 ELSE ord(substr(q, k + 1, 1)) - 33 END"
+_SUM = lambda at: f"CAST(list_sum(list_transform(range(0, length(b)), lambda k: {_WRONG.replace('{at}', at)})) AS INT)"
+
+
+@query("q_mismatch_quality", f"SELECT {', '.join(_KEYS)}, {_SUM('pos')} AS mismatch_quality FROM {_MET}")
+def _(r, spark, d):
+    return measures.measured(r, derived.reference(spark), _KEYS).select(*_KEYS, "mismatch_quality")
+
+
+# places from two before to two after, as far as the stretch of reference around the read goes; the own one, then the smallest
+_PLACES = ", ".join(f"CASE WHEN pos + {k} >= 0 AND ({k} <= 0 OR pos + length(b) + {k} <= 1100) THEN {_SUM(f'(pos + {k})') if k else _SUM('pos')} END" for k in (0, -2, -1, 1, 2))
+
+
+@query("q_best_offset", f"""SELECT {', '.join(_KEYS)}, CAST(pos + [0, -2, -1, 1, 2][list_position(s, list_min(s))] AS INT) AS best_pos, list_min(s) AS best_quality FROM (SELECT *, [{_PLACES}] AS s FROM {_MET})""")
+def _(r, spark, d):
+    return measures.measured(r, derived.reference(spark), _KEYS).select(*_KEYS, "best_pos", "best_quality")
+
+
+_OFFSET = "CASE l_linenumber % 4 WHEN 0 THEN i WHEN 1 THEN CASE WHEN i >= 3 THEN i - 3 END WHEN 2 THEN CASE WHEN i < 10 THEN i ELSE i + 2 END ELSE CASE WHEN i < 12 THEN i WHEN i > 12 AND i < read_len - 4 THEN i - 1 END END"
+_DIFFERS = f"({_OFFSET}) IS NOT NULL AND pos + ({_OFFSET}) < 1100 AND substr(seq, i + 1, 1) <> substr(ref, pos + ({_OFFSET}) + 1, 1)"
+
+
+@query("q_nm_uq", f"""SELECT {', '.join(_KEYS)}, CAST(coalesce(list_sum(list_transform(range(0, read_len), lambda i: CASE WHEN {_DIFFERS} THEN 1 ELSE 0 END)), 0) + CASE l_linenumber % 4 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS INT) AS nm,
+ CAST(coalesce(list_sum(list_transform(range(0, read_len), lambda i: CASE WHEN {_DIFFERS} THEN ord(substr(qual, i + 1, 1)) - 33 ELSE 0 END)), 0) AS INT) AS uq FROM {_MET}""")
+def _(r, spark, d):
+    return measures.measured(r, derived.reference(spark), _KEYS).select(*_KEYS, "nm", "uq")
+
+
+# how many bases in a row before the gap are equal to the one that a move by one brings to its other end
+_DELETED = "CAST(coalesce(list_position(list_transform(range(0, 10), lambda k: substr(ref, pos + 10 - k, 1) = substr(ref, pos + 12 - k, 1)), false), 11) - 1 AS INT)"
+_INSERTED = "CAST(coalesce(list_position(list_transform(range(0, 12), lambda k: substr(ref, pos + 12 - k, 1) = substr(seq, 12 - k, 1) AND substr(seq, 12 - k, 1) = substr(seq, 13 - k, 1)), false), 13) - 1 AS INT)"
+
+
+@query("q_left_align", f"""SELECT {', '.join(_KEYS)}, CASE l_linenumber % 4 WHEN 2 THEN CASE WHEN m = 10 THEN concat(CAST(read_len AS VARCHAR), 'M') ELSE concat(CAST(10 - m AS VARCHAR), 'M2D', CAST(read_len - 10 + m AS VARCHAR), 'M') END
+ WHEN 3 THEN concat(CASE WHEN m = 12 THEN '' ELSE concat(CAST(12 - m AS VARCHAR), 'M') END, '1I', CAST(read_len - 17 + m AS VARCHAR), 'M4S') ELSE cigar END AS left_aligned
+ FROM (SELECT *, CASE l_linenumber % 4 WHEN 2 THEN {_DELETED} WHEN 3 THEN {_INSERTED} END AS m FROM {_MET})""")
+def _(r, spark, d):
+    return measures.measured(r, derived.reference(spark), _KEYS).select(*_KEYS, "left_aligned")
+
+
+# files as lines -------------------------------------------------------------------------------------------------------
+
+_HEADER = Header(sequences=tuple({"SN": n, "LN": str(size)} for n, (_, size) in derived.SEQUENCES.items()))
+_SAM_LINE = """concat_ws(chr(9), name, CAST(flag AS VARCHAR), CASE WHEN ref_id < 0 THEN '*' ELSE concat('chr', CAST(ref_id + 1 AS VARCHAR)) END, CAST(pos + 1 AS VARCHAR), CAST(mapq AS VARCHAR), cigar,
+ CASE WHEN flag & 1 = 0 OR mate < 0 THEN '*' WHEN mate = ref_id THEN '=' ELSE concat('chr', CAST(mate + 1 AS VARCHAR)) END, CASE WHEN flag & 1 = 0 OR mate < 0 THEN '0' ELSE CAST(pos + 26 AS VARCHAR) END,
+ CASE WHEN flag & 1 = 0 OR mate < 0 THEN '0' ELSE CAST(insert_size AS VARCHAR) END, seq, qual, concat('RG:Z:', rg), concat('NM:i:', CAST(score % 400 - 100 AS VARCHAR)))"""
+_MATED = "(SELECT *, CASE WHEN ref_id < 0 THEN -1 ELSE (ref_id + l_linenumber % 2) % 5 END AS mate FROM {reads})"
+
+
+def _with_mates(r):
+    entry = lambda t, v: F.struct(F.lit(t).alias("type"), v.alias("value"))
+    mate = F.when(F.col("ref_id") < 0, -1).otherwise((F.col("ref_id") + F.col("l_linenumber") % 2) % 5)
+    number = F.col("score") % 400 - 100
+    kind = F.when(number < -128, "s").when(number < 0, "c").when(number < 256, "C").otherwise("S")
+    tags = F.create_map(F.lit("RG"), entry("Z", F.col("rg")), F.lit("NM"), F.struct(kind.alias("type"), number.cast("string").alias("value")))
+    return r.withColumns({"idx": F.lit(0).cast("long"), "mate_ref_id": mate.cast("int"), "mate_pos": F.col("pos") + 25, "tags": tags})
+
+
+@query("q_sam_lines", f"SELECT {_SAM_LINE} AS value FROM {_MATED}")
+def _(r, spark, d):
+    return sam.sam_lines(_with_mates(r), _HEADER).select("value")
+
+
+@query("q_sam_parse", f"""SELECT name, flag, ref_id, pos, mapq, cigar, CAST(CASE WHEN flag & 1 = 0 THEN -1 ELSE mate END AS INT) AS mate_ref_id, CAST(CASE WHEN flag & 1 = 0 OR mate < 0 THEN -1 ELSE pos + 25 END AS INT) AS mate_pos,
+ CAST(CASE WHEN flag & 1 = 0 OR mate < 0 THEN 0 ELSE insert_size END AS INT) AS insert_size, seq, qual, read_len, rg, CAST(score % 400 - 100 AS INT) AS nm,
+ CASE WHEN score % 400 < -28 + 0 THEN 's' WHEN score % 400 < 100 THEN 'c' WHEN score % 400 < 356 THEN 'C' ELSE 'S' END AS nm_type FROM {_MATED}""")
+def _(r, spark, d):
+    x = sam.parse_lines(sam.sam_lines(_with_mates(r), _HEADER), _HEADER)
+    return x.select("name", "flag", "ref_id", "pos", "mapq", "cigar", "mate_ref_id", "mate_pos", "insert_size", "seq", "qual", "read_len", C.tag("RG").alias("rg"), C.tag("NM").cast("int").alias("nm"), C.tag_type("NM").alias("nm_type"))
+
+
+@query("q_coverage_tsv", f"SELECT concat_ws(chr(9), s.ref_name, CAST(100 * g.bin + 1 AS VARCHAR), CAST(c.coverage AS VARCHAR)) AS value FROM {{seqs}} s, (SELECT unnest(range(0, 11)) AS bin) g JOIN ({_BINS}) c ON c.ref_id = s.ref_id AND c.bin = g.bin")
+def _(r, spark, d):
+    return reports.coverage_lines(reports.coverage_table(r, derived.sequences(spark), zeros=False))
+
+
+@query("q_flag_report", """SELECT ref_id, concat('Mapped reads:      ', lpad(CAST(count(*) FILTER (flag & 4 = 0) AS VARCHAR), 10, ' '), ' (', lpad(printf('%.1f', 100.0::DOUBLE * count(*) FILTER (flag & 4 = 0) / count(*)), 5, ' '), '%)') AS line FROM {reads} GROUP BY ref_id""")
+def _(r, spark, d):
+    share = F.format_string("%.1f", F.lit(100.0) * F.col("mapped") / F.col("total"))
+    return stats.flagstat(r, ["ref_id"]).select("ref_id", F.concat(F.lit("Mapped reads:      "), F.lpad(F.col("mapped").cast("string"), 10, " "), F.lit(" ("), F.lpad(share, 5, " "), F.lit("%)")).alias("line"))
+
+
+# the operators on groups of reads -------------------------------------------------------------------------------------
+
+
+def _realigned(r, spark, d):
+    x = _indexed(r).withColumns({"mate_ref_id": F.col("ref_id"), "mate_pos": F.lit(-1), "tags": F.create_map().cast(sam.TAGS)})
+    return realign.realigned(x, derived.intervals(spark, d), derived.reference(spark), derived.sequences(spark))
+
+
+@query("q_realign")
+def _(r, spark, d):
+    return _realigned(r, spark, d).select("idx", "name", "flag", "ref_id", "pos", "mapq", "cigar", "mate_ref_id", "mate_pos", "insert_size", C.tag("OC").alias("old_cigar"), C.tag("OP").alias("old_pos"))
+
+
+def _loci(spark, d):
+    at = derived.intervals(spark, d).join(derived.sequences(spark).select("ref_id", "ref_name"), "ref_id")
+    text = lambda c: F.col(c).cast("string")
+    region = F.concat("ref_name", F.lit(":"), text("start"), F.lit("-"), text("stop"))
+    regions = at.withColumns({"start": F.col("start") + 1, "stop": F.col("start") + 12}).withColumns({"region": region, "second": F.concat(F.lit("3_4_1_100_"), text("start"), F.lit("_CAG")), "unit_length": F.lit(3), "unit": F.lit("CAG")})
+    return repeats.loci(regions.drop("ref_id"), derived.reference(spark), derived.sequences(spark))
+
+
+@query("q_repeat_loci", """SELECT concat('chr', CAST(ref_id + 1 AS VARCHAR), ':', CAST(start + 1 AS VARCHAR), '-', CAST(start + 12 AS VARCHAR)) AS region, substr(ref, greatest(start - 7, 1), least(start, 8)) AS left, substr(ref, start + 1, 12) AS center, substr(ref, start + 13, 8) AS right
+ FROM {intervals} JOIN {reference} g USING (ref_id)""")
+def _(r, spark, d):
+    return _loci(spark, d).select("region", "left", "center", "right")
+
+
+@query("q_genotype")
+def _(r, spark, d):
+    x = _indexed(r).withColumn("tags", F.create_map().cast(sam.TAGS))
+    return repeats.genotypes(x, _loci(spark, d), left=0, right=0).select("region", "depth", "reads", "stars", "alleles", "concordance", "mean_mapq", "genotype", "confidence", "call_line", "report", F.array_join("vcf", "\n").alias("vcf"))
