@@ -197,8 +197,9 @@ def _late(docs: DataFrame, window: int) -> DataFrame:
     anchors = stash(texts.mapInArrow(remote(f"{_HERE}:_anchors", window=window), "doc_id long, anchor long, stretch long"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor", "least")
     seeds = stash(anchors.join(shared, "anchor"))
-    classes = seeds.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("first"))
-    several = classes.groupBy("anchor").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b")).filter("a != b").select("anchor")
+    # written apart from the joins, so that these can be split where an anchor has very many classes
+    classes = stash(seeds.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("first")))
+    several = stash(classes.groupBy("anchor").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b")).filter("a != b").select("anchor"))
     later = seeds.join(classes, ["anchor", "stretch"]).filter("doc_id > first").select("doc_id", "stretch")
     open_ends = classes.join(several, "anchor").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("stretch").alias("stretches"))
     windows = stash(texts.join(open_ends, "doc_id").select("doc_id", "text", "stretches").mapInArrow(remote(f"{_HERE}:_windows", window=window), "doc_id long, window long"))
