@@ -263,10 +263,11 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     if several.limit(1).count():
         texts, made = _vertices(texts, several)
         own = sets_of(texts)
-    classes = own.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
+    classes = own.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members")).filter("members > 1")
+    classes = stash(classes.select("digest", "class_id"))
     sizes = {r["n"]: r["k"] for r in own.filter(F.col("n").between(1, SMALL)).groupBy("n").agg(F.count("*").alias("k")).collect()}
     boundary = choose_boundary(sizes, percent)
-    labelled = stash(own.join(classes.filter("members > 1").select("digest", "class_id"), "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id")))
+    labelled = stash(own.join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id")))
     named = texts.filter(F.col("doc_id").isNotNull())
     copies = labelled.filter("doc_id != class_id").select("doc_id", "class_id").distinct()
 
@@ -301,7 +302,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # what a set has from this shingle on: all that it can share with one that has none of its rarer shingles
     members = stash(posts.select("doc_id", "n", (F.col("shared") - F.col("place") + 1).alias("ahead"), "shingle"))
     band = F.floor(F.log("n") / math.log(100 / percent))
-    heads = members.groupBy("shingle", band.alias("band")).agg(F.min("doc_id").alias("head"), F.count("*").alias("k"))
+    heads = stash(members.groupBy("shingle", band.alias("band")).agg(F.min("doc_id").alias("head"), F.count("*").alias("k")))  # apart from the joins, so that these can be split
     in_band = members.withColumn("band", band).join(heads.filter("k > 1"), ["shingle", "band"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     next_band = heads.select("shingle", F.col("head").alias("a"), F.col("band")).join(heads.select("shingle", F.col("head").alias("b"), (F.col("band") + 1).alias("band")), ["shingle", "band"]).select("a", "b")
     ordered = lambda e: e.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -314,7 +315,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     # what is left: members of different groups
     placed = stash(members.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle")
+    mixed = stash(placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle"))
     rest = placed.join(mixed, "shingle")
     side = lambda x: rest.select("shingle", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("ahead").alias(f"s{x}"), F.col("component").alias(f"c{x}"))
     # in the first list, by rarity, that two sets share, what either has ahead bounds their overlap; other lists may miss them
