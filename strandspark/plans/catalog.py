@@ -637,13 +637,13 @@ def _(r, spark, d):
     return measures.measured(r, derived.reference(spark), _KEYS).select(*_KEYS, "mismatch_quality")
 
 
-# places from two before to two after, as far as the stretch of reference around the read goes; the own one, then the smallest
-_PLACES = ", ".join(f"CASE WHEN pos + {k} >= 0 AND ({k} <= 0 OR pos + length(b) + {k} <= 1100) THEN {_SUM(f'(pos + {k})') if k else _SUM('pos')} END" for k in (0, -2, -1, 1, 2))
+# places from one before to one after, as far as the stretch of reference around the read goes; the own one, then the smallest
+_PLACES = ", ".join(f"CASE WHEN pos + {k} >= 0 AND ({k} <= 0 OR pos + length(b) + {k} <= 1100) THEN {_SUM(f'(pos + {k})') if k else _SUM('pos')} END" for k in (0, -1, 1))
 
 
-@query("q_best_offset", f"""SELECT {', '.join(_KEYS)}, CAST(pos + [0, -2, -1, 1, 2][list_position(s, list_min(s))] AS INT) AS best_pos, list_min(s) AS best_quality FROM (SELECT *, [{_PLACES}] AS s FROM {_MET})""")
+@query("q_best_offset", f"""SELECT {', '.join(_KEYS)}, CAST(pos + [0, -1, 1][list_position(s, list_min(s))] AS INT) AS best_pos, list_min(s) AS best_quality FROM (SELECT *, [{_PLACES}] AS s FROM {_MET})""")
 def _(r, spark, d):
-    return measures.measured(r, derived.reference(spark), _KEYS).select(*_KEYS, "best_pos", "best_quality")
+    return measures.measured(r, derived.reference(spark), _KEYS, around=1).select(*_KEYS, "best_pos", "best_quality")
 
 
 _OFFSET = "CASE l_linenumber % 4 WHEN 0 THEN i WHEN 1 THEN CASE WHEN i >= 3 THEN i - 3 END WHEN 2 THEN CASE WHEN i < 10 THEN i ELSE i + 2 END ELSE CASE WHEN i < 12 THEN i WHEN i > 12 AND i < read_len - 4 THEN i - 1 END END"
