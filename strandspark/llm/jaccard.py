@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ship import release, remote, stash
+from .ship import release, release_since, remote, stash, stashed
 from .text import chunks, grams, mix
 
 _HERE = "strandspark.llm.jaccard"
@@ -210,7 +210,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == before or not mark["n"]:
-            return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+            out = now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+            out.stashed_at = now.stashed_at  # the one table that it reads
+            return out
         before = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -258,6 +260,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     texts = docs.select("doc_id", "text")
     sets_of = lambda rows: stash(rows.mapInArrow(remote(f"{_HERE}:_classes", words=words), "doc_id long, n long, digest binary"))
+    mark = stashed()
     own, made = sets_of(texts), None
     several = own.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y").select("doc_id")
     if several.limit(1).count():
@@ -324,6 +327,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     left = stash(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     more = _verified(left, sets, percent)
     final = components(edges.unionByName(more))
+    release_since(docs.sparkSession, mark, labelled, final, *([made] if made is not None else []))  # all else is read already
     out = labelled.join(final.toDF("class_id", "_component"), "class_id", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_component", "class_id").alias("component_id"))
     if made is not None:

@@ -114,8 +114,10 @@ def stashed() -> int:
     return len(_written)
 
 
-def release_since(spark: SparkSession, mark: int) -> None:
-    """Delete the tables stashed since ``mark``: once results that read them are written, and no other is waiting."""
-    while len(_written) > mark:
-        system, at = _hadoop(spark, _written.pop())
+def release_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the tables stashed since ``mark`` but those to keep: once results that read them are written, and no other is waiting."""
+    kept = {t.stashed_at for t in keep}
+    for path in [p for p in _written[mark:] if p not in kept]:
+        system, at = _hadoop(spark, path)
         system.delete(at, True)
+        _written.remove(path)
