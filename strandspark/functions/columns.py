@@ -71,23 +71,33 @@ def end_position(pos="pos", ops: Column | None = None, padded: bool = False, clo
     return col(pos) + cigar_sum("MDNX=I" if padded else "MDNX=", ops) - (1 if closed else 0)
 
 
-def _clip(ops: Column) -> Column:
-    """Length of the S and H operations that ``ops`` begins with."""
-    step = lambda s, x: F.struct((s["n"] + F.when(s["go"] & x["op"].isin("S", "H"), x["len"]).otherwise(0)).alias("n"), (s["go"] & x["op"].isin("S", "H")).alias("go"))
-    return F.aggregate(ops, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), step, lambda s: s["n"])
+def _with_clips(ops: Column | None, finish) -> Column:
+    """``finish`` of a struct: length of the S and H operations that the CIGAR begins (lead) and ends with (tail), and on the reference (span).
+
+    One pass over the operations, parsed once.
+    """
+    start = F.struct(F.lit(0).alias("lead"), F.lit(0).alias("tail"), F.lit(0).alias("span"), F.lit(True).alias("first"))
+
+    def step(s, x):
+        clip, n = x["op"].isin("S", "H"), x["len"]
+        return F.struct(
+            (s["lead"] + F.when(s["first"] & clip, n).otherwise(0)).alias("lead"), F.when(clip, s["tail"] + n).otherwise(0).alias("tail"),
+            (s["span"] + F.when(x["op"].isin("M", "D", "N", "=", "X"), n).otherwise(0)).alias("span"), (s["first"] & clip).alias("first"),
+        )
+
+    return F.aggregate(cigar_ops() if ops is None else ops, start, step, finish)
 
 
 def unclipped_start(pos="pos", ops: Column | None = None) -> Column:
-    return col(pos) - _clip(cigar_ops() if ops is None else ops)
+    return _with_clips(ops, lambda s: col(pos) - s["lead"])
 
 
 def unclipped_end(pos="pos", ops: Column | None = None) -> Column:
-    ops = cigar_ops() if ops is None else ops
-    return col(pos) + reference_length(ops) - 1 + _clip(F.reverse(ops))
+    return _with_clips(ops, lambda s: col(pos) + s["span"] - 1 + s["tail"])
 
 
 def five_prime(pos="pos", flag="flag", ops: Column | None = None) -> Column:
-    return F.when(has("reverse", flag), unclipped_end(pos, ops)).otherwise(unclipped_start(pos, ops))
+    return _with_clips(ops, lambda s: F.when(has("reverse", flag), col(pos) + s["span"] - 1 + s["tail"]).otherwise(col(pos) - s["lead"]))
 
 
 def alignment_blocks(pos="pos", ops: Column | None = None) -> Column:

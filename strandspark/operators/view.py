@@ -70,8 +70,8 @@ def toggle_pairs(reads: DataFrame, key: Sequence[str], order: Sequence[str]) ->
 def fastq_split(reads: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(pairs, orphans).  The later read's strand decides which one is /1; the /2 one is turned to the other strand."""
     w = W.partitionBy("name").orderBy(*order)
-    one = F.struct("flag", "seq", "qual")
-    first = reads.select("name", one.alias("a"), F.lead(one).over(w).alias("b"), ((F.row_number().over(w) - 1) % 2).alias("mate")).filter("mate = 0")
+    own = reads.select("name", *[c for c in order if c != "name"], F.struct("flag", "seq", "qual").alias("a"))
+    first = own.select("name", "a", F.lead("a").over(w).alias("b"), F.row_number().over(w).alias("n")).filter("n % 2 = 1")
     swap = C.has("reverse", F.col("b.flag"))
     pick = lambda f, x, y: F.when(swap, F.col(f"{x}.{f}")).otherwise(F.col(f"{y}.{f}"))
     pairs = first.filter("b is not null").select("name", pick("seq", "a", "b").alias("seq1"), pick("qual", "a", "b").alias("qual1"), C.reverse_complement(pick("seq", "b", "a")).alias("seq2"), F.reverse(pick("qual", "b", "a")).alias("qual2"))
