@@ -4,11 +4,12 @@ import hashlib
 import itertools
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import zstandard
-from strandspark.llm import contamination, language, quality, toxicity
+from strandspark.llm import contamination, jaccard, language, mixing, quality, rules, substrings, toxicity
 
 from .test_llm import WORD, brute_components, brute_repeats, brute_tiles, labelled, plain, table
 
@@ -230,3 +231,36 @@ def test_language_scores(spark):
         s = (total / n + model["intercept"]) / model["temperature"]
         p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
         assert got[i][0] == model["names"][int(p.argmax())] and abs(got[i][1] - p.max()) < 1e-6
+
+
+def test_very_long_texts(spark):
+    """Texts beyond a chunk (1 MiB), with characters of two to four bytes, against plain versions of the rules."""
+    rng = np.random.default_rng(12)
+    words = [f"{a}{i}" for i in range(900) for a in ("w", "é", "\U0001f600")]
+    long = " ".join(rng.choice(words, 260_000))
+    tail = " ".join(f"t{i}" for i in range(40))
+    texts = [f"{long} {tail}", f"x {long} y", "short one", f"{tail}\n{tail}", None, ""]
+    assert len(texts[0].encode()) > 1 << 20
+    docs = table(spark, texts)
+    got = {r.doc_id: r for r in jaccard.link(docs, 4, 85).collect()}
+    sizes, group = brute_components(texts, 4, 85)
+    assert [got[i].n_shingles for i in range(6)] == sizes and [got[i].component_id for i in range(6)] == group and group[1] == 0
+    gone = brute_repeats(list(enumerate(texts)), 20)
+    digest = {r.doc_id: r for r in substrings.digests(docs).collect()}
+    for i, t in enumerate(texts):
+        own = WORD.findall(t or "")
+        kept = " ".join(w for k, w in enumerate(own) if k not in gone[i])
+        assert (digest[i].n_words, digest[i].n_removed, digest[i].kept_sha256) == (len(own), len(gone[i]), hashlib.sha256(kept.encode()).hexdigest())
+    counted = {r.doc_id: r for r in rules.count(docs).collect()}
+    for i, t in enumerate(texts):
+        own = WORD.findall(t or "")
+        three = Counter(zip(own, own[1:], own[2:], strict=False))
+        covered = {k + d for k in range(len(own) - 2) if three[own[k], own[k + 1], own[k + 2]] > 1 for d in range(3)}
+        assert (counted[i].n_words, counted[i].word_chars, counted[i].n_repeat_words) == (len(own), sum(map(len, own)), len(covered))
+    assert {r.doc_id: r["size"] for r in mixing.mix(docs).collect()} == {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
+    some, labels = labelled(spark, 200)
+    model = toxicity.fit(table(spark, some), labels)
+    assert {r.doc_id: r.score > 0.5 for r in toxicity.score(table(spark, [long, f"{long} grumblefink."]), model).collect()} == {0: False, 1: True}
+    good = quality.fit(table(spark, some), labels, "toxic")
+    scores = {r.doc_id: r.score for r in quality.score(docs, good).collect()}
+    assert abs(scores[0] - brute_quality(texts[0], good)) < 1e-9
