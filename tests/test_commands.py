@@ -140,3 +140,14 @@ def test_execute(spark, tmp_path):
     (tmp_path / "bad").write_text("x = { exec 'exit 1' }\nrun { x }")
     with pytest.raises(ValueError, match="failed"):
         go(spark, "execute", tmp_path / "bad")
+
+
+def test_fastq_files(spark, path, tmp_path):
+    go(spark, "view", path, "-o", tmp_path / "q.fastq")
+    text = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    record = lambda n, seq, qual: f"@{n}\n{seq}\n+{n}\n{qual}\n"
+    assert text("q_1.fastq") == record("a/1", "ACGTACGTAC", "I" * 10) + record("b/1", "ACGTACGTAC", "5" * 10)
+    assert text("q_2.fastq") == record("a/2", "GTACGTACGT", "I" * 10) + record("b/2", "GTACGTACGT", "5" * 10)
+    assert text("q.fastq") == "".join(record(n, "ACGTACGTAC", "I" * 10) for n in "cde")
+    go(spark, "view", path, "-o", tmp_path / "t.fastq", "-B", 2, "-E", 3, "-q", 60)
+    assert text("t_1.fastq") == record("a/1", "GTACG", "IIIII") and text("t_2.fastq") == record("a/2", "CGTAC", "IIIII")
