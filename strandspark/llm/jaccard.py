@@ -67,7 +67,7 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
     return min(range(SMALL + 1), key=lambda x: (cost(x), x))
 
 
-def _subset_keys(s: np.ndarray, boundary: int, percent: int) -> tuple[list[int], list[int]]:
+def _subset_keys(s: np.ndarray, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(sum of sizes, hash of subset) of all subsets that a light link with this set can share."""
     n = len(s)
     sums = [n + m for m in _partners(n, percent)] if n <= boundary else []
@@ -75,7 +75,7 @@ def _subset_keys(s: np.ndarray, boundary: int, percent: int) -> tuple[list[int],
     with np.errstate(over="ignore"):
         each = mix(s)
         total = each.sum(dtype=np.uint64)
-        out_sums, out_keys = [], []
+        out_sums, out_keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for t in sorted(set(sums)):
             gone = n - overlap(t, percent)
             if gone < 0:
@@ -85,9 +85,9 @@ def _subset_keys(s: np.ndarray, boundary: int, percent: int) -> tuple[list[int],
             else:
                 index = np.array(list(combinations(range(n), gone)))
                 keys = total - each[index].sum(axis=1, dtype=np.uint64)
-            out_sums += [t] * len(keys)
-            out_keys += mix(keys).view(np.int64).tolist()
-    return out_sums, out_keys
+            out_sums.append(np.full(len(keys), t))
+            out_keys.append(mix(keys))
+    return np.concatenate(out_sums), np.concatenate(out_keys)
 
 
 def _sets(column, words: int):
@@ -113,6 +113,27 @@ def _classes(batches, words: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.binary())], names=["doc_id", "n", "digest"])
 
 
+class _Rows:
+    """Numbers for rows of a batch, given out as batches of a bounded size."""
+
+    #: Numbers of a column that are held before they are given out.
+    HELD = 1 << 19
+
+    def __init__(self, doc_ids: pa.Array, names: list[str]) -> None:
+        self.doc_ids, self.names, self.parts, self.size = doc_ids, names, [], 0
+
+    def add(self, row: int, *columns: np.ndarray) -> bool:
+        """True once there is enough to give out."""
+        self.parts.append((np.full(len(columns[0]), row), *columns))
+        self.size += len(columns[0])
+        return self.size >= self.HELD
+
+    def give(self) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)] or [np.empty(0, np.int64)] * len(self.names)
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays([self.doc_ids.take(pa.array(columns[0])), *[pa.array(c.view(np.int64)) for c in columns[1:]]], names=self.names)
+
+
 def _own(batches, words: int, percent: int, boundary: int):
     """(doc_id, shingle) of heavy sets; the lowest bit tells the whole sets of small ones from the parts of large ones.
 
@@ -120,20 +141,15 @@ def _own(batches, words: int, percent: int, boundary: int):
     """
     top = np.uint64(min(1.0, WIDER * (100 - percent) / 100) * ((1 << 64) - 1))
     for batch in batches:
-        rows, shingles = [], []
+        rows = _Rows(batch.column(0), ["doc_id", "shingle"])
         for row, s in _sets(batch.column(1), words):
             if len(s) <= boundary:
                 continue
-            parts = []
-            if len(s) <= 100 * FULL // percent:
-                parts.append(s & ~np.uint64(1))
-            if len(s) > FULL:
-                parts.append(s[: np.searchsorted(s, top)] | np.uint64(1))
-            for x in parts:
-                rows.append(np.full(len(x), row))
-                shingles.append(x)
-        at = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array((np.concatenate(shingles) if shingles else np.empty(0, np.uint64)).view(np.int64))], names=["doc_id", "shingle"])
+            if len(s) <= 100 * FULL // percent and rows.add(row, s & ~np.uint64(1)):
+                yield rows.give()
+            if len(s) > FULL and rows.add(row, s[: np.searchsorted(s, top)] | np.uint64(1)):
+                yield rows.give()
+        yield rows.give()
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -150,53 +166,61 @@ def _signature_counts(x: bytes) -> np.ndarray:
 def _light(batches, words: int, percent: int, boundary: int):
     """(doc_id, n, sum of sizes, subset key) of sets that a light set can be similar to."""
     for batch in batches:
-        rows, n, sums, keys = [], [], [], []
+        rows = _Rows(batch.column(0), ["doc_id", "n", "total", "key"])
         for row, s in _sets(batch.column(1), words):
             if 0 < len(s) <= 100 * boundary // percent:
-                a, b = _subset_keys(s, boundary, percent)
-                rows += [row] * len(a)
-                n += [len(s)] * len(a)
-                sums += a
-                keys += b
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(sums, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n", "total", "key"])
+                sums, keys = _subset_keys(s, boundary, percent)
+                if rows.add(row, np.full(len(keys), len(s)), sums, keys):
+                    yield rows.give()
+        yield rows.give()
+
+
+#: Rows with whole sets that are taken out of a batch at once.
+SLICE = 256
 
 
 def _members(batches, words: int):
     """Size, bucket counts and members of each text's set."""
     for batch in batches:
-        sets = [s for _, s in _sets(batch.column(1), words)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "signature", "members"])
+        for at in range(0, max(batch.num_rows, 1), SLICE):
+            part = batch.slice(at, SLICE)
+            sets = [s for _, s in _sets(part.column(1), words)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "signature", "members"])
 
 
 def _shingles(batches):
     for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], names=["doc_id", "n", "shingle"])
+        for start in range(0, max(batch.num_rows, 1), SLICE):
+            part = batch.slice(start, SLICE)
+            sets = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+            at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], names=["doc_id", "n", "shingle"])
 
 
 def _possible(batches, percent: int):
     """Pairs (a, b, signature a, size a, signature b, size b) whose bucket counts allow the similarity."""
     for batch in batches:
-        keep = []
-        for x, n, y, m in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-            p, q = _signature_counts(x), _signature_counts(y)
-            size = min(len(p), len(q))
-            most = int(np.minimum(p.reshape(-1, size).sum(0), q.reshape(-1, size).sum(0)).sum())
-            keep.append(100 * most >= percent * (n + m - most))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for at in range(0, max(batch.num_rows, 1), SLICE):
+            part, keep = batch.slice(at, SLICE), []
+            for x, n, y, m in zip(*(part.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                p, q = _signature_counts(x), _signature_counts(y)
+                size = min(len(p), len(q))
+                most = int(np.minimum(p.reshape(-1, size).sum(0), q.reshape(-1, size).sum(0)).sum())
+                keep.append(100 * most >= percent * (n + m - most))
+            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def _similar(batches, percent: int):
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([p, q])
-            both.sort()
-            o = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * o >= percent * (len(p) + len(q) - o))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for at in range(0, max(batch.num_rows, 1), SLICE):
+            part, keep = batch.slice(at, SLICE), []
+            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.concatenate([p, q])
+                both.sort()
+                o = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * o >= percent * (len(p) + len(q) - o))
+            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def components(edges: DataFrame) -> DataFrame:
