@@ -16,6 +16,8 @@ from .ship import remote, shared_folder
 _HERE = "strandspark.llm.archive"
 #: Payloads of fewer bytes are always responses of their own; they are stored once all the same.
 LEAST = 1000
+#: Places in the bitmap of repeated digests (16 MB at most when broadcast), and in each of its rows.
+_PLACES, _ROW = 1 << 27, 1 << 15
 END = "\r\n"
 _ENCODED = "X-Target-URI-Encoding"
 
@@ -38,8 +40,8 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST, date: str | N
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", F.sha2(payload, 256).alias("digest"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes"))
-    owners = keyed.groupBy("digest").agg(F.max("page_id").alias("owner"))
-    named = keyed.join(owners, "digest")
+    owners = keyed.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n"))
+    named = keyed.join(owners.drop("n"), "digest")
     revisit = (F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("owner"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     empty = F.lit("")
@@ -58,11 +60,25 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST, date: str | N
         F.lit(END),
     )
     named.select("digest", revisit.alias("revisit"), header.alias("header")).write.parquet(f"{path}/headers")
-    # the join on both columns has no hot key (a digest's copies differ in page_id), and dropping repeats needs no other shuffle
+    # a payload that no other row has is written as it is read; the others, and a few at the same places of the bitmap, meet their owners
     key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63))).alias("key")
-    kept = pages.select(key("page_id"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
-    mine = kept.join(owners.select("digest", key("owner")), ["digest", "key"], "left_semi")
-    mine.dropDuplicates(["digest", "key"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    kept = pages.select(key("page_id"), F.sha2(payload, 256).alias("digest"), payload.alias("payload")).withColumn("place", _place())
+    placed = kept.join(F.broadcast(_repeated(owners)), F.col("row") == F.floor(F.col("place") / _ROW), "left")
+    shared = F.coalesce(F.expr(f"shiftright(cast(conv(hex(substring(bits, cast(place % {_ROW} div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) & 1 = 1"), F.lit(False))
+    # the join on both columns has no hot key (a digest's copies differ in page_id), and dropping repeats needs no other shuffle
+    mine = placed.filter(shared).select("key", "digest", "payload").join(owners.select("digest", key("owner")), ["digest", "key"], "left_semi")
+    once = placed.filter(~shared).select("digest", "payload")
+    once.unionByName(mine.dropDuplicates(["digest", "key"]).select("digest", "payload")).write.parquet(f"{path}/payloads")
+
+
+def _place() -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(_PLACES))
+
+
+def _repeated(owners: DataFrame) -> DataFrame:
+    """(row, bits): a bitmap over the places of all digests that more than one row has; of bounded size, so others share places."""
+    places = owners.filter("n > 1").select(_place().alias("place"))
+    return places.select(F.floor(F.col("place") / _ROW).alias("row"), (F.col("place") % _ROW).alias("at")).repartition("row").groupBy("row").agg(F.bitmap_construct_agg("at").alias("bits"))
 
 
 def _bad(kind: str = "string") -> Column:

@@ -190,6 +190,32 @@ def test_archive_round_trip(spark, tmp_path):
         archive.read_index(spark, str(tmp_path / "spoilt")).collect()
 
 
+def test_archive_moves_shared_payloads_only(spark, tmp_path, monkeypatch):
+    def shuffled():
+        core = spark.sparkContext._jsc.sc()
+        core.listenerBus().waitUntilEmpty()
+        return core.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    rng = np.random.default_rng(7)
+    rows = [(i, f"u{i}", rng.bytes(10_000).hex()) for i in range(100)]
+    schema = "page_id long, url string, html string"
+    before = shuffled()
+    archive.write_archive(spark.createDataFrame(rows, schema), str(tmp_path / "distinct"))
+    assert shuffled() - before < 200_000  # of 2,000,000 bytes of payloads
+    assert spark.read.parquet(str(tmp_path / "distinct/payloads")).count() == 100
+    copies = [(1000 + i, f"v{i}", rows[i % 30][2]) for i in range(70)] + [(-i, "w", "short") for i in range(9)] + [(None, "n", rows[99][2])]
+    top = {}
+    for p, _, h in rows + copies:
+        top[h] = max(top.get(h, -1000), -1000 if p is None else p)
+    want = Counter((p, u, "revisit" if (back := len(h) >= 1000 and p != top[h]) else "response", top[h] if back else None, hashlib.sha1(h.encode()).hexdigest()) for p, u, h in rows + copies)
+    for places in (1, 7, archive._PLACES):  # a few places are shared by digests that are not repeated
+        monkeypatch.setattr(archive, "_PLACES", places)
+        path = str(tmp_path / f"copies{places}")
+        archive.write_archive(spark.createDataFrame(rows + copies, schema), path)
+        assert Counter((r.page_id, r.url, r.record_type, r.refers_to, r.payload_digest) for r in archive.read_index(spark, path).collect()) == want
+        assert Counter(r.digest for r in spark.read.parquet(f"{path}/payloads").collect()) == Counter(hashlib.sha256(h.encode()).hexdigest() for h in top)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "hi"), (1, 1, "user", "a\\<|im_end|>"), (1, 2, "assistant", "<|x\\"), (2, 0, "system", "hi"), (2, 1, "user", "b"), (2, 2, "assistant", ""), (3, 0, "user", None), (3, 1, "rôle\nx", "é"), (4, 0, "system", "hi")]
     nodes, leaves = chat.build_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
