@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ship import release, release_since, remote, stash, stashed
+from .ship import release, release_since, remote, stash, stashed, swept
 from .text import chunks, grams, mix
 
 _HERE = "strandspark.llm.jaccard"
@@ -282,7 +282,12 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     document, of which the texts all link, whatever they say; a null doc_id is in no class and component_id is null.  Texts of
     any length are compared whole; an empty table gives none; other columns are not looked at.
     """
-    texts = docs.select("doc_id", "text")
+    with swept(docs.sparkSession):
+        return _link(docs.select("doc_id", "text"), words, percent)
+
+
+def _link(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    spark = texts.sparkSession
     sets_of = lambda rows: stash(rows.mapInArrow(remote(f"{_HERE}:_classes", words=words), "doc_id long, n long, digest binary"))
     mark = stashed()
     own, made = sets_of(texts), None
@@ -351,7 +356,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     left = stash(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     more = _verified(left, sets, percent)
     final = components(edges.unionByName(more))
-    release_since(docs.sparkSession, mark, labelled, final, *([made] if made is not None else []))  # all else is read already
+    release_since(spark, mark, labelled, final, *([made] if made is not None else []))  # all else is read already
     out = labelled.join(final.toDF("class_id", "_component"), "class_id", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_component", "class_id").alias("component_id"))
     if made is not None:

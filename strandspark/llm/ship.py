@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -86,6 +87,24 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Shuffle files go at the end of the execution that made them; else they stay until the driver happens to collect its garbage.
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What is written or collected meanwhile leaves no shuffle files."""
+    before = spark.conf.get(_SWEEP, None)
+    spark.conf.set(_SWEEP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SWEEP)
+        else:
+            spark.conf.set(_SWEEP, before)
+
+
 _written: list[str] = []
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -82,6 +83,20 @@ def test_texts_of_one_id_link(spark, texts):
     assert {r.doc_id for r in jaccard.keep_first(docs).collect()} == {5, 2, 4, None}
 
 
+def test_jaccard_join_leaves_no_shuffle_files(spark, texts):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = lambda: {b for b in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before, was = blocks(), spark.conf.get(setting, None)
+    out = jaccard.link(table(spark, texts), 4, 85)
+    for _ in range(50):  # they go in the background
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before
+    assert spark.conf.get(setting, None) == was
+    assert Counter(out.collect()) == Counter(out.collect())
+
+
 def test_boundary_has_the_least_cost():
     assert jaccard.choose_boundary({}, 85) == 0
     assert jaccard.choose_boundary(dict.fromkeys(range(1, 33), 10), 85) in range(1, 33)
